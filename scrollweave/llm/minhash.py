@@ -7,7 +7,9 @@ Plan, with every intermediate table in the shared folder:
 2. Every band bucket gets its smallest node as hub by a minimum aggregation. All nodes are compared with the hubs of
    their buckets: as many candidates as bucket members, however large a bucket is.
 3. Sequential Bayesian pruning drops a candidate after any batch of signature positions in which the posterior chance
-   of a similarity over the threshold is under ``miss``. Survivors are confirmed on the full shingle sets.
+   of a similarity over the threshold is under ``miss``. A bit map of each set then gives an upper bound of the
+   similarity, which excludes most pairs that are a little under the threshold and none over it. Survivors are confirmed
+   on the full shingle sets.
 4. Buckets whose nodes are still in more than one component are compared exhaustively across components (large ones in
    blocks that send on only what survives pruning), so that no banded candidate is lost by the hubs.
 5. Components by large and small stars.
@@ -32,6 +34,8 @@ from scrollweave.llm._scratch import discard, park
 
 #: Buckets up to this size are paired by a join, larger ones in blocks of BLOCK nodes.
 SMALL, BLOCK = 32, 256
+#: Bits of the map that bounds the similarity of two sets from above.
+MAP_BITS = 4096
 
 
 def posterior_floor(n: int, threshold: float, miss: float) -> int:
@@ -50,7 +54,7 @@ def posterior_floor(n: int, threshold: float, miss: float) -> int:
 
 
 class Sketcher:
-    """Digest, signature and band hashes of a shingle set."""
+    """Digest, signature, band hashes and bit map of a shingle set."""
 
     def __init__(self, bands: int, rows: int, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -67,36 +71,39 @@ class Sketcher:
             np.minimum(low, part.min(1), out=low)
         return low
 
-    def __call__(self, shingles: np.ndarray) -> tuple[int, bytes, np.ndarray]:
+    def __call__(self, shingles: np.ndarray) -> tuple[int, bytes, np.ndarray, bytes]:
         low = self.minima(shingles)
         grid = low.reshape(self.bands, self.rows).astype(np.uint64)
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for j in range(self.rows):
             key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, j])
         digest = xxhash.xxh3_64_intdigest(shingles.tobytes())
-        return digest - (1 << 64) if digest >> 63 else digest, (low >> np.uint32(24)).astype(np.uint8).tobytes(), key.view(np.int64)
+        bits = np.zeros(MAP_BITS, bool)
+        bits[(shingles & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
+        signature = (low >> np.uint32(24)).astype(np.uint8).tobytes()
+        return digest - (1 << 64) if digest >> 63 else digest, signature, key.view(np.int64), np.packbits(bits).tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``(id, n_shingles, node, signature, buckets)`` for each row; node and what follows are null without a shingle."""
+    """``(id, n_shingles, node, signature, buckets, bits)`` for each row; node and what follows are null without a shingle."""
 
     def run(batches):
         sketch = Sketcher(bands, rows)
         for whole in batches:
             for batch in tv.slices(whole, ("text",)):
                 bounds, hashes = tv.words(batch.column("text"))
-                n, node, signature, buckets = [], [], [], []
+                n, node, signature, buckets, bits = [], [], [], [], []
                 for s in tv.shingle_sets(bounds, hashes, shingle):
                     n.append(len(s))
-                    for out, x in zip((node, signature, buckets), sketch(s) if len(s) else (None,) * 3, strict=True):
+                    for out, x in zip((node, signature, buckets, bits), sketch(s) if len(s) else (None,) * 4, strict=True):
                         out.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64()))],
-                    ["id", "n_shingles", "node", "signature", "buckets"],
+                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["id", "n_shingles", "node", "signature", "buckets", "bits"],
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, n_shingles long, node long, signature binary, buckets array<long>")
+    return chosen.mapInArrow(run, "id long, n_shingles long, node long, signature binary, buckets array<long>, bits binary")
 
 
 def _floors(size: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
@@ -113,18 +120,32 @@ def _survivors(x: np.ndarray, y: np.ndarray, floors: list[tuple[int, int, int]])
     return left
 
 
-def _prune(pairs: DataFrame, signed: DataFrame, floors: list[tuple[int, int, int]]) -> DataFrame:
-    """The pairs that sequential Bayesian comparison of their signatures leaves."""
+def _possible(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether bit maps allow the similarity: each bit in one map alone is a shingle in one set alone, so with d such
+    bits the similarity is (n + m - d) / (n + m + d) at most. Nothing that could be linked is lost."""
+    apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return den * (n + m - apart) >= num * (n + m + apart)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
+
+
+def _prune(pairs: DataFrame, signed: DataFrame, floors: list[tuple[int, int, int]], num: int, den: int) -> DataFrame:
+    """The pairs that sequential Bayesian comparison of their signatures leaves, less those that bit maps exclude."""
     size = floors[-1][1]
 
     def run(batches):
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, size) for c in ("sa", "sb"))
-            yield batch.take(pa.array(_survivors(x, y, floors))).select(["a", "b"])
+            left = _survivors(_matrix(batch.column("sa"), size), _matrix(batch.column("sb"), size), floors)
+            batch = batch.take(pa.array(left))
+            x, y = (_matrix(batch.column(c), MAP_BITS // 8).view(np.uint64) for c in ("ba", "bb"))
+            left = np.flatnonzero(_possible(batch.column("na").to_numpy(), batch.column("nb").to_numpy(), x, y, num, den))
+            yield batch.take(pa.array(left)).select(["a", "b"])
 
-    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
-    both = both.join(signed.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    side = lambda s: signed.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("signature").alias(f"s{s}"), F.col("bits").alias(f"b{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb", "ba", "bb").mapInArrow(run, "a long, b long")
 
 
 def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, shingle: int, num: int, den: int) -> DataFrame:
@@ -148,33 +169,34 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _across(members: DataFrame, signed: DataFrame, floors: list[tuple[int, int, int]]) -> DataFrame:
+def _across(members: DataFrame, signed: DataFrame, floors: list[tuple[int, int, int]], num: int, den: int) -> DataFrame:
     """Unpruned pairs of different components among ``(bucket, node, root)``, every one within a bucket considered."""
     mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
     mixed = park(mixed.filter("lo <> hi AND n > 2").select("bucket", "n"), "mixed")
-    within = members.join(mixed, "bucket")
-    few = within.filter(F.col("n") <= SMALL)
+    within = members.join(mixed.withColumnRenamed("n", "held"), "bucket")
+    few = within.filter(F.col("held") <= SMALL)
     pairs = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket")
-    pairs = _prune(pairs.filter("a < b AND ra <> rb").select("a", "b").distinct(), signed, floors)
+    pairs = _prune(pairs.filter("a < b AND ra <> rb").select("a", "b").distinct(), signed, floors, num, den)
     size = floors[-1][1]
 
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        sig = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, size)
+        n, sig, bits = table.column("n").to_numpy(), _matrix(table.column("signature"), size), _matrix(table.column("bits"), MAP_BITS // 8).view(np.uint64)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for x in left:
             y = right[(root[right] != root[x]) & ((node[right] > node[x]) if i == j else True)]
             y = y[_survivors(np.broadcast_to(sig[x], (len(y), size)), sig[y], floors)]
+            y = y[_possible(n[x], n[y], bits[x], bits[y], num, den)]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
 
-    many = within.filter(F.col("n") > SMALL).join(signed, "node")
-    many = many.withColumn("blocks", F.ceil(F.col("n") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    many = within.filter(F.col("held") > SMALL).join(signed, "node")
+    many = many.withColumn("blocks", F.ceil(F.col("held") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "signature")
+    many = many.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "n", "signature", "bits")
     blocks = many.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
     return pairs.unionByName(blocks).distinct()
 
@@ -187,8 +209,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable over links, ``kept`` says that a row has this id.
 
     Null and empty texts, and texts of white space, have no shingle and form components of their own. A row with a null
-    id takes part in links, but can't name a component while another id is there; alone its ``component_id`` and
-    ``kept`` are null. Repeated rows share a component. Other columns are ignored, whatever their names.
+    id shares the component of rows with an equal shingle set that have one; without such rows it links with nothing, and
+    its ``component_id`` is null. Its ``kept`` is null. Repeated rows share a component. Other columns are ignored, whatever their names.
     """
     num, den = threshold
     floors = _floors(bands * rows, num / den, miss)
@@ -200,13 +222,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = park(banded.join(hubs, "bucket").distinct(), "members")
     stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     wanted = members.select("node").distinct().join(nodes, "node").filter("rep IS NOT NULL")
-    signed = park(wanted.join(rows_.select(F.col("id").alias("rep"), "node", "signature"), ["rep", "node"]).select("node", "signature").dropDuplicates(["node"]), "signed")
+    signed = park(wanted.join(rows_.select(F.col("id").alias("rep"), "node", F.col("n_shingles").alias("n"), "signature", "bits"), ["rep", "node"]).select("node", "n", "signature", "bits").dropDuplicates(["node"]), "signed")
     confirm = lambda pairs: _confirm(pairs, nodes, docs, id_col, text_col, shingle, num, den)
 
-    links = park(confirm(park(_prune(stars, signed, floors), "pruned")), "links")
+    links = park(confirm(park(_prune(stars, signed, floors, num, den), "pruned")), "links")
     roots = components(links)
     labelled = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    rest = park(_across(labelled, signed, floors).join(links, ["a", "b"], "left_anti"), "across")
+    rest = park(_across(labelled, signed, floors, num, den).join(links, ["a", "b"], "left_anti"), "across")
     more = park(confirm(rest), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
