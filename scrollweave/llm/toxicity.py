@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from scrollweave.llm import _textvec as tv
 
 #: Labelled rows that a fit takes at most, and bytes of text that it takes at most of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 24 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 6 << 20
 
 
 @dataclass
