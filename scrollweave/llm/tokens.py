@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from scrollweave.llm import _textvec as tv
 from scrollweave.llm._scratch import fresh
 
-#: Encoded pieces that a task keeps, some 60 MB; past this, it starts again.
-KNOWN = 300_000
+#: Encoded pieces that a task keeps, some 30 MB; past this, it starts again. Pieces that one library call encodes: what
+#: the library returns holds far more than the ids, so few of its results stand in memory at once.
+KNOWN, AT_ONCE = 150_000, 4_096
 SCHEMA = "file int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -42,8 +44,9 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         if len(known) > KNOWN:
             known.clear()
         new = [p for p in vocabulary if p not in known]
-        for piece, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[piece] = array("i", e.ids).tobytes()
+        for some in batched(new, AT_ONCE):
+            for piece, e in zip(some, tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
+                known[piece] = array("i", e.ids).tobytes()
         encoded = [known[p] for p in vocabulary]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         flat = np.frombuffer(b"".join(encoded), np.int32).astype(np.int64)
