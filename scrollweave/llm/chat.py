@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -52,6 +53,16 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+@cache
+def _codec(path: str):
+    """The tokenizer of ``path``, read once in each Python worker: a worker serves many tasks."""
+    from tokenizers import Tokenizer
+
+    codec = Tokenizer.from_file(path)
+    codec.encode_special_tokens = True
+    return codec
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -110,10 +121,7 @@ def _encoded(paths: DataFrame, tokenizer: str) -> DataFrame:
     whole = {"conv_id": pa.int64(), "depth": pa.int64(), "node": pa.int64(), "own": pa.bool_(), "key": pa.binary(), "position": pa.int64(), "n_tokens": pa.int64(), "body": pa.int64(), "body_end": pa.int64(), "loss": pa.bool_(), "ids": pa.list_(pa.int32())}
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        codec = Tokenizer.from_file(tokenizer)
-        codec.encode_special_tokens = True
+        codec = _codec(tokenizer)
         recent: dict[int, tuple[list[int], int, int]] = {}
 
         def ids_of(r: dict) -> tuple[list[int], int, int]:
@@ -209,9 +217,7 @@ def read_back(stream: DataFrame, index: DataFrame, tokenizer: str) -> DataFrame:
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_tokens", pa.int64())])
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        codec = Tokenizer.from_file(tokenizer)
+        codec = _codec(tokenizer)
         decode = lambda ids: codec.decode(ids, skip_special_tokens=False) if ids else ""
 
         def rows():
