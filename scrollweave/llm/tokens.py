@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import batched
 
 import numpy as np
@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from scrollweave.llm import _textvec as tv
 from scrollweave.llm._scratch import fresh
 
-#: Encoded pieces that a task keeps, some 30 MB; past this, it starts again. Pieces that one library call encodes: what
-#: the library returns holds far more than the ids, so few of its results stand in memory at once.
-KNOWN, AT_ONCE = 150_000, 4_096
+#: Encoded pieces that a task keeps, some 30 MB; past this, it starts again. Pieces that one library call encodes, as
+#: strings of JOINED pieces each: a result of the library holds far more than the ids and costs more than most pieces.
+KNOWN, AT_ONCE, JOINED = 150_000, 4_096, 64
 SCHEMA = "file int, doc_id long, local_start long, n_tokens long, ids array<int>"
 
 
@@ -26,12 +26,38 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to ``(lengths, ids)``, the same as encoding each whole text without special tokens added.
 
     For tokenizers that drop white space and never join across it. Texts are cut at ASCII white space, and each
-    distinct piece of a batch is encoded once. Up to KNOWN pieces stay known between batches.
+    distinct piece of a batch is encoded once. Up to KNOWN pieces stay known between batches. Pieces go to the library
+    joined by an added token, at which it cuts before all else, and whose id marks where the ids of a piece end; pieces
+    that spell this token, and all pieces where the tokenizer has none, go alone.
     """
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     known: dict[str, bytes] = {}
+    added = tokenizer.get_added_tokens_decoder()
+    cutters = [i for i, t in added.items() if t.content and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
+    cutter = added[cutters[-1]].content if cutters else None
+
+    def alone(pieces: Iterable[str]) -> None:
+        for some in batched(pieces, AT_ONCE):
+            for piece, e in zip(some, tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
+                known[piece] = np.array(e.ids, np.int32).tobytes()
+
+    def joined(pieces: list[str]) -> None:
+        for some in batched(pieces, AT_ONCE):
+            groups = list(batched(some, JOINED))
+            found = tokenizer.encode_batch_fast([cutter.join(g) + cutter for g in groups], add_special_tokens=False)
+            for group, e in zip(groups, found, strict=True):
+                ids = np.array(e.ids, np.int32)
+                ends = np.flatnonzero(ids == cutters[-1])
+                if len(ends) != len(group):
+                    alone(group)
+                    continue
+                data, at = ids.tobytes(), 0
+                for piece, end in zip(group, (4 * ends).tolist(), strict=True):
+                    known[piece] = data[at:end]
+                    at = end + 4
 
     def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pc.fill_null(column, "").cast(pa.large_string())
@@ -44,9 +70,10 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         if len(known) > KNOWN:
             known.clear()
         new = [p for p in vocabulary if p not in known]
-        for some in batched(new, AT_ONCE):
-            for piece, e in zip(some, tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
-                known[piece] = array("i", e.ids).tobytes()
+        plain = [p for p in new if cutter and cutter not in p]
+        joined(plain)
+        if len(plain) < len(new):
+            alone(p for p in new if p not in known)
         encoded = [known[p] for p in vocabulary]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
         flat = np.frombuffer(b"".join(encoded), np.int32).astype(np.int64)
