@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scrollweave.llm import chat, decontaminate, minhash, packing, quality, secrets, sharding, toxicity, urlfilter
@@ -203,3 +204,17 @@ def test_secrets(docs):
     masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
     assert masked[301] == "é password:short [REDACTED] [REDACTED]" and masked[200] is None
     assert secrets.secret_scan(docs.limit(0)).count() == 0
+
+
+def test_joined_pieces_encode_like_whole_texts():
+    from tokenizers import Tokenizer
+
+    from scrollweave.llm.queries import tokenizer_path
+    from scrollweave.llm.tokens import encoder
+
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [None, "", "  ", "It's 42 words, isn't it?", "a<|endoftext|>b c", "x <|endoftext|", "<|endoftext|><|endoftext|> é e\u0301 <|startoftext|>", " <|endoftext|>< <", "word " * 200]
+    lengths, ids = encoder(path)(pa.array(texts, pa.string()))
+    whole = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert lengths.tolist() == [len(w) for w in whole]
+    assert ids.tolist() == sum(whole, [])
