@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 
 from scrollweave.llm._scratch import park
 
+#: A private key from BEGIN to END, or where END is missing as far as its lines of base64 go; group 1 is its body.
+#: Groups repeat possessively, which Java does without recursion, so long bodies are safe.
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----((?:[^-]|-(?!----))*+(?=-----END [A-Z ]{0,40}PRIVATE KEY-----)"
+    r"|(?:\s*+[A-Z][A-Za-z-]*+:\x20[^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)++(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{1,15}+(?=\s*\z))?+)"
+    r"(?:-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
+)
+
 #: kind: (pattern, least length, group whose length counts and whose text is the value). Base kinds come first.
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2),
@@ -19,7 +27,7 @@ KINDS = {
     "hex": (r"[0-9a-f]{32,}", 32, 0),
     "provider": (r"(?:gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[srp]k_(?:live|test)_[A-Za-z0-9]{16,}|AIza[0-9A-Za-z_-]{30,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,})", 12, 0),
     "url": (r"://[^\s:/@]{1,64}:([^\s:/@]{4,128})@", 4, 1),
-    "pem": (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 20, 0),
+    "pem": (_PEM, 20, 1),
 }
 BASE = ("assign", "access", "hex")
 
@@ -36,6 +44,8 @@ def _found(text: Column, kind: str) -> Column:
     pattern, least, group = KINDS[kind]
     order = list(KINDS).index(kind)
     hits, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if kind == "pem":  # one key, however its lines are broken
+        values = F.transform(values, lambda v: F.regexp_replace(v, r"\\[nr]|[^A-Za-z0-9+/=]", ""))
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
     place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,value:string>>").alias("out"))
 
@@ -99,7 +109,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``spans`` has the base spans and those that the method adds (kinds provider, url, pem, unless widely copied), as
     ``kind:start:end`` in code points. A span is live if fewer than ``widely`` owners have its value and it looks
-    random (or is a key header); ``n_copied`` counts the spans whose value ``widely`` owners or more have.
+    random (or is a private key, whose value is its body); ``n_copied`` counts the spans whose value ``widely`` owners
+    or more have.
 
     Null and empty texts have no span, and the hash of the empty string. Null ids and repeated rows are rows like
     others; null repositories or owners don't count; columns of other names don't matter.

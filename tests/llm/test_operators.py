@@ -206,6 +206,27 @@ def test_secrets(docs):
     assert secrets.secret_scan(docs.limit(0)).count() == 0
 
 
+def test_private_keys_are_whole_spans_counted_by_key(spark):
+    rng = random.Random(11)
+    line = lambda n=64: "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(n))
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    own = [[line(), line(), line(20) + "=="] for _ in range(6)]
+    block = lambda lines, br="\n": br.join([head, *lines, foot])
+    locked = block(["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", "", *own[4]])
+    rows = [(k, f"é {block(own[k])} z", f"s{k}") for k in range(4)]
+    rows += [(10 + k, block(own[5], "\n" if k else "\\n"), f"s{k}") for k in range(3)]
+    rows += [(20, f"x {locked}{block(own[0])}", "s0"), (21, "a " + "\n".join([head, *own[1]]), "s1"), (22, f"{head} is how a key of this type begins", "s2")]
+    rows += [(23, block([line() for _ in range(20_000)]), "s3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'en' AS lang")
+    got = {r.doc_id: r for r in secrets.secret_scan(docs).collect()}
+    for k in range(4):
+        assert got[k].live_spans == got[k].spans == f"pem:2:{len(rows[k][1]) - 2}"
+        assert got[10 + k % 3].n_copied == 1 and got[10 + k % 3].spans == got[10 + k % 3].live_spans == ""
+    masked = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert [masked[k] for k in range(4)] == ["é [REDACTED] z"] * 4 and masked[10] == rows[4][1]
+    assert masked[20] == "x [REDACTED][REDACTED]" and masked[21] == "a [REDACTED]" and masked[22] == rows[9][1] and masked[23] == "[REDACTED]"
+
+
 def test_joined_pieces_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
