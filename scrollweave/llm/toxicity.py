@@ -9,17 +9,19 @@ Grades are 0 (clean), 1 (toxic) and 2 (severely toxic).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrollweave.llm import _textvec as tv
+from scrollweave.llm._scratch import discard, park
 
-#: Labelled rows that a fit takes at most, and bytes of text that it takes at most of them.
-SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 6 << 20
+#: Labelled texts that a fit takes at most.
+SAMPLE_ROWS = 20_000
 
 
 @dataclass
@@ -56,39 +58,36 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return tv.words(column, tv.PUNCTUATION)
 
 
-def choose(bounds: np.ndarray, hashes: np.ndarray, label: np.ndarray, most: int = 512, least_texts: int = 5, least_share: float = 0.05, chi2: float = 40.0) -> np.ndarray:
-    """Features that toxic texts have more often, by the chi-square statistic, ``most`` at most.
+def choose(sample: DataFrame, n: int, toxic: int, most: int = 512, least_texts: int = 5, least_share: float = 0.05, chi2: float = 40.0) -> np.ndarray:
+    """Features that toxic texts have more often, by the chi-square statistic, ``most`` at most, of ``sample (__toxic,
+    __words)`` with ``n`` texts and ``toxic`` toxic ones. Words are counted in Spark; only features reach the driver.
 
     A feature is in ``least_texts`` texts and ``least_share`` of the toxic ones at least: copies of one toxic text would
     else make features of its rare words.
     """
-    known, place = np.unique(hashes, return_inverse=True)
-    pairs = np.unique(np.repeat(np.arange(len(label)), np.diff(bounds)) * len(known) + place)
-    owner, feature = pairs // max(1, len(known)), pairs % max(1, len(known))
-    n, toxic = len(label), label.sum()
-    df = np.bincount(feature, minlength=len(known))
-    hit = np.bincount(feature, label[owner], len(known))
-    used = np.flatnonzero((df >= least_texts) & (hit >= least_share * toxic))
-    a, b = hit[used], df[used] - hit[used]
-    c, d = toxic - a, n - toxic - b
-    with np.errstate(divide="ignore", invalid="ignore"):
-        stat = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d))
-    stat = np.where(np.isfinite(stat) & (a * (n - toxic) > b * toxic), stat, 0.0)
-    order = np.argsort(-stat, kind="stable")[:most]
-    return np.sort(known[used[order[stat[order] >= chi2]]])
-
-
-def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 2000, rate: float = 0.5, l2: float = 1e-5) -> Model:
-    """Fit on labelled texts.
+    if not 0 < toxic < n:
+        return np.zeros(0, np.uint64)
+    each = sample.select(F.explode("__words").alias("word"), "__toxic")
+    counts = each.groupBy("word").agg(F.count("*").cast("double").alias("df"), F.sum("__toxic").cast("double").alias("a"))
+    all_, bad = F.lit(float(n)), F.lit(float(toxic))
+    a, b = F.col("a"), F.col("df") - F.col("a")
+    c, d = bad - a, all_ - bad - b
+    cross = a * d - b * c
+    stat = F.try_divide(all_ * cross * cross, (a + b) * (c + d) * (a + c) * (b + d))
+    used = counts.filter((F.col("df") >= least_texts) & (a >= least_share * toxic) & (a * (all_ - bad) > b * bad))
+    # The hashes are unsigned.
+    best = used.select("word", stat.alias("stat")).filter(F.col("stat") >= chi2).orderBy(F.desc("stat"), F.col("word").bitwiseXOR(F.lit(-(1 << 63)))).limit(most)
+    return np.sort(np.array([r.word for r in best.collect()], np.int64).view(np.uint64))
+
+
+def fit(features: np.ndarray, owner: np.ndarray, feature: np.ndarray, toxic: np.ndarray, rounds: int = 2000, rate: float = 0.5, l2: float = 1e-5) -> Model:
+    """Fit on labelled texts, by the distinct pairs ``(owner, feature)`` of texts and places in ``features``.
 
     Labels are 0 or 1. A toxic text with at least the median number of chosen features among toxic texts that have more
     than one is graded 2, another toxic text 1. Gradient ascent on the penalised likelihood of all grades at once;
     thresholds are a first one and positive steps.
     """
     toxic = toxic.astype(np.float64)
-    bounds, hashes = _words(texts)
-    features = choose(bounds, hashes, toxic) if len(toxic) and 0 < toxic.sum() < len(toxic) else np.zeros(0, np.uint64)
-    owner, feature = _present(bounds, hashes, features)
     hits = np.bincount(owner, minlength=len(toxic))
     many = hits[(toxic > 0) & (hits > 1)]
     grade = np.where(toxic > 0, np.where(hits >= max(2, np.median(many)), 2, 1) if len(many) else 1, 0)
@@ -114,22 +113,55 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 2000, rate: float = 0.
     return Model(features, w, np.array([first, first + np.exp(step)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on labelled documents, ``sample_rows`` at most, chosen by a hash of their ids, and ``sample_bytes`` of their
-    texts at most; both bounds are for the fit alone. Labels are read first, so only chosen texts move."""
-    clean = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).filter("__id IS NOT NULL AND __toxic IS NOT NULL")
-    chosen = clean.groupBy("__id").agg(F.max("__toxic").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter("__text IS NOT NULL")
-    size = F.sum("__size").over(_by_hash())
-    found = rows.join(F.broadcast(chosen), "__id").withColumn("__size", F.octet_length("__text"))
-    kept = found.withColumn("__sum", size).filter(F.col("__sum") <= sample_bytes).select("__text", "__toxic").toArrow()
-    return fit(kept.column("__text").combine_chunks() if kept.num_rows else pa.array([], pa.string()), kept.column("__toxic").to_numpy() > 0)
+def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(__id, __hash, __toxic, __words)``: each text as the sorted distinct hashes of its words."""
+    for whole in batches:
+        for batch in tv.slices(whole, ("__text",)):
+            bounds, hashes = _words(batch.column("__text"))
+            sets = [np.unique(hashes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            offsets = np.cumsum([0, *map(len, sets)])
+            words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__id", "__hash", "__toxic")), words], ["__id", "__hash", "__toxic", "__words"])
+
+
+def _lists(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """``(bounds, values)`` of a column of lists."""
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return bounds - bounds[0], column.flatten().to_numpy()
 
 
-def _by_hash():
-    from pyspark.sql import Window
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Fit on labelled documents, ``sample_rows`` at most, chosen by a hash of their ids; the bound is for the fit alone.
 
-    return Window.orderBy(F.xxhash64("__id"), "__id").rowsBetween(Window.unboundedPreceding, 0)
+    Chosen texts count whole, however long, and move as the hashes of their distinct words. Words are counted in Spark,
+    so the driver gets the features and their places in each text, not the texts. Labels are read first, so only
+    chosen texts move. Repeated rows count once; further texts of one id come after the first texts of all ids.
+    """
+    clean = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).filter("__id IS NOT NULL AND __toxic IS NOT NULL")
+    chosen = clean.groupBy("__id").agg((F.max("__toxic") > 0).cast("int").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).cast("string").alias("__text")).filter("__text IS NOT NULL")
+    found = rows.join(F.broadcast(chosen), "__id").select("__id", F.xxhash64("__text").alias("__hash"), "__toxic", "__text")
+    held = park(found.mapInArrow(_word_sets, "__id long, __hash long, __toxic int, __words array<long>").dropDuplicates(["__id", "__hash"]), "words")
+    rank = F.row_number().over(Window.partitionBy("__id").orderBy("__hash"))
+    picked = held.select("__id", "__hash", rank.alias("__rank")).orderBy("__rank", F.xxhash64("__id"), "__id").limit(sample_rows)
+    sample = held.join(F.broadcast(park(picked.select("__id", "__hash"), "picked")), ["__id", "__hash"], "left_semi")
+    features = choose(sample, *sample.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first())
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, hashes = _lists(batch.column("__words"))
+            owner, feature = _present(bounds, hashes.view(np.uint64), features)
+            offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__id", "__hash", "__toxic")), at], ["__id", "__hash", "__toxic", "__at"])
+
+    placed = sample.select("__id", "__hash", "__toxic", "__words").mapInArrow(places, "__id long, __hash long, __toxic int, __at array<int>")
+    kept = placed.orderBy(F.xxhash64("__id"), "__id", "__hash").select("__toxic", "__at").toArrow()
+    discard(held)
+    if not kept.num_rows:
+        return fit(features, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
+    bounds, feature = _lists(kept.column("__at").combine_chunks())
+    return fit(features, np.repeat(np.arange(kept.num_rows), np.diff(bounds)), feature, kept.column("__toxic").to_numpy() > 0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

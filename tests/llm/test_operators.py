@@ -134,6 +134,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs, toxicity.train(docs, labels.limit(0))).count() == 402
 
 
+def test_one_long_text_does_not_end_the_toxicity_sample(spark):
+    rng = random.Random(6)
+    first = spark.range(10_000, 14_000).orderBy("id").selectExpr("min_by(id, xxhash64(id)) AS id").first().id
+    rows = [(k, " ".join([*rng.sample(WORDS, 30), *(["vile", "rotten"] if k % 5 == 0 else [])]), int(k % 5 == 0)) for k in range(300)]
+    long = (first, "plain " * 1_200_000, 0)
+    docs = spark.createDataFrame([*rows, long, long, (5, "other text of a labelled id", 1)], "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.filter("text NOT LIKE 'other%'").select("doc_id", "toxic"))
+    assert len(model.features) == 2
+    got = {r.doc_id: r.toxic for r in toxicity.score(docs.filter("text NOT LIKE 'other%'").select("doc_id", "text"), model).collect()}
+    assert got == {k: bool(bad) for k, _, bad in [*rows, long]}
+
+
 def test_sharding(docs):
     got = sharding.shards(docs).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in texts())
