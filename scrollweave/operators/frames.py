@@ -24,7 +24,7 @@ REGION = "x int, y int, w int, h int, region_type string"
 def plane(w: int, h: int, luma: bytes | None) -> np.ndarray | None:
     if not luma or w <= 0 or h <= 0 or len(luma) != w * h:
         return None
-    return np.frombuffer(luma, np.uint8).reshape(h, w)
+    return np.frombuffer(luma, np.uint8).reshape(int(h), int(w))
 
 
 def _weights(n_in: int, n_out: int) -> np.ndarray:

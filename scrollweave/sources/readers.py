@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,29 @@ from scrollweave.functions.text import pts_time
 
 def frames(spark: SparkSession, folder: str, prefix: str = "kf_") -> DataFrame:
     """``(path, number, w, h, luma)`` of the PNG files of ``folder`` that begin with ``prefix``; unreadable ones have null
-    planes. ``number`` is the number in the name, so names of different lengths sort right."""
+    planes, grey and colour ones the plane of their luma. ``number`` is the number in the name, so names of different
+    lengths sort right."""
     images = spark.read.format("image").option("pathGlobFilter", f"{prefix}*.png").load(folder).select("image.*")
     number = F.regexp_extract("origin", r"(\d+)\.png$", 1).try_cast("long")
-    good = F.col("nChannels") == 1
-    grey = lambda c: F.when(good & (F.col("width") > 0), F.col(c))
-    return images.select(F.col("origin").alias("path"), number.alias("number"), grey("width").alias("w"), grey("height").alias("h"), grey("data").alias("luma"))
+    good = F.col("nChannels").isin(1, 3, 4) & (F.col("width") > 0)
+
+    @F.pandas_udf("binary")
+    def luma(channels: pd.Series, data: pd.Series) -> pd.Series:
+        return pd.Series([_luma(n, x) for n, x in zip(channels, data, strict=True)], dtype=object)
+
+    plane = F.when(F.col("nChannels") == 1, F.col("data")).otherwise(luma("nChannels", "data"))
+    readable = lambda c: F.when(good, c)
+    return images.select(F.col("origin").alias("path"), number.alias("number"), readable(F.col("width")).alias("w"), readable(F.col("height")).alias("h"), readable(plane).alias("luma"))
+
+
+def _luma(channels: int, data: bytes) -> bytes | None:
+    """The luma plane of an image whose pixels are blue, green and red, and alpha, which counts nothing: BT.709 weights,
+    rounded down. Null for other images."""
+    if channels not in (3, 4):
+        return None
+    pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
+    blue, green, red = (pixels[:, k].astype(np.uint32) for k in range(3))
+    return ((722 * blue + 7152 * green + 2126 * red) // 10_000).astype(np.uint8).tobytes()
 
 
 def timed(images: DataFrame, log: DataFrame, step: float) -> DataFrame:

@@ -1,4 +1,6 @@
 import random
+import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -6,6 +8,7 @@ from pyspark.sql import functions as F
 
 from scrollweave.functions import text as T
 from scrollweave.operators import folds, frames, lines
+from scrollweave.sources import readers
 
 
 def one(spark, column, *values):
@@ -88,3 +91,25 @@ def test_frame_dedup_keeps_all_if_the_first_is_unreadable(spark):
     rows = [("a", 0, 48, 48, luma), ("a", 1, 48, 48, luma), ("a", 2, 48, 48, None), ("b", 0, 0, 0, None), ("b", 1, 48, 48, luma), ("b", 2, 48, 48, luma)]
     kept = frames.dedup_frames(spark.createDataFrame(rows, "video_id string, seq int, w int, h int, luma binary")).collect()
     assert sorted((r.video_id, r.seq) for r in kept) == [("a", 0), ("b", 0), ("b", 1), ("b", 2)]
+
+
+def test_colour_frames_are_read_as_luma(spark, tmp_path):
+    def png(pixels, kind):
+        h, w, n = pixels.shape
+        chunk = lambda name, data: struct.pack(">I", len(data)) + name + data + struct.pack(">I", zlib.crc32(name + data))
+        raw = b"".join(b"\0" + row.tobytes() for row in pixels)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+    pixels = np.random.default_rng(2).integers(0, 256, (50, 60, 4), np.uint8)
+    pixels[..., 3] |= 1
+    grey = pixels[..., 0].copy()
+    (tmp_path / "kf_1.png").write_bytes(png(pixels[..., :3], 2))
+    (tmp_path / "kf_2.png").write_bytes(png(pixels, 6))
+    (tmp_path / "kf_3.png").write_bytes(frames.png(grey))
+    (tmp_path / "kf_10.png").write_bytes(b"no image")
+    got = {r.number: r for r in readers.frames(spark, str(tmp_path)).collect()}
+    want = (pixels[..., :3].astype(int) @ [2126, 7152, 722] // 10_000).astype(np.uint8)
+    assert [got[k].luma for k in (1, 2, 3, 10)] == [want.tobytes(), want.tobytes(), grey.tobytes(), None]
+    assert [(got[k].w, got[k].h) for k in (1, 2, 3, 10)] == [(60, 50)] * 3 + [(None, None)]
+    table = readers.frames(spark, str(tmp_path)).selectExpr("'a' AS video_id", "number AS seq", "w", "h", "luma")
+    assert sorted(r.seq for r in frames.dedup_frames(table).collect()) == [1, 3]
