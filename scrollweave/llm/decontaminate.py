@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrollweave.llm import _textvec as tv
+from scrollweave.llm._scratch import park
 
 #: Bytes of benchmark text in one block of items, which goes to all tasks.
 ITEM_BYTES = 4 << 20
@@ -216,7 +217,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose id no leak has. Rows with a null id stay."""
-    bad = leaks(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, with all columns, that hold no item. Rows are told apart by a key of their own, so null ids,
+    ids on several texts and repeated rows are rows like others."""
+    keyed = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    bad = leaks(keyed, benchmark, **(options | {"id_col": "__row"})).select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(bad, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -53,6 +53,12 @@ def posterior_floor(n: int, threshold: float, miss: float) -> int:
     return n
 
 
+def digest(shingles: np.ndarray) -> int:
+    """The node of a shingle set, a signed 64-bit number."""
+    x = xxhash.xxh3_64_intdigest(shingles.tobytes())
+    return x - (1 << 64) if x >> 63 else x
+
+
 class Sketcher:
     """Digest, signature, band hashes and bit map of a shingle set."""
 
@@ -77,11 +83,10 @@ class Sketcher:
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
         for j in range(self.rows):
             key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, j])
-        digest = xxhash.xxh3_64_intdigest(shingles.tobytes())
         bits = np.zeros(MAP_BITS, bool)
         bits[(shingles & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
         signature = (low >> np.uint32(24)).astype(np.uint8).tobytes()
-        return digest - (1 << 64) if digest >> 63 else digest, signature, key.view(np.int64), np.packbits(bits).tobytes()
+        return digest(shingles), signature, key.view(np.int64), np.packbits(bits).tobytes()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
@@ -156,7 +161,10 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             for batch in tv.slices(whole, ("ta", "tb")):
                 sets = [list(tv.shingle_sets(*tv.words(batch.column(c)), shingle)) for c in ("ta", "tb")]
                 keep = []
-                for k, (x, y) in enumerate(zip(*sets, strict=True)):
+                ends = (batch.column(c).to_pylist() for c in "ab")
+                for k, (x, y, a, b) in enumerate(zip(*sets, *ends, strict=True)):
+                    if (digest(x), digest(y)) != (a, b):  # the id stands on another text as well
+                        continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and den * both >= num * (len(x) + len(y) - both):
                         keep.append(k)
@@ -243,9 +251,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each group those with the smallest id (one, if ids are unique).
+    """``docs`` without near duplicates: one row of each group, that with the smallest id, or with a null one if no row has
+    an id.
 
-    All columns stay as they are. Rows with a null id stay only where no other row is near them.
+    All columns stay as they are. Rows are told apart by a key of their own, so null ids, ids on several texts and
+    repeated rows are rows like others. Rows without a shingle are groups of their own.
     """
-    verdict = near_duplicates(docs, id_col, text_col, **options).filter("NOT kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(verdict, F.col(id_col).cast("long") == F.col("__dropped"), "left_anti")
+    keyed = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(keyed, "__row", text_col, **options).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = keyed.select("__row", F.col(id_col).cast("long").alias("__id"))
+    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
+    found = park(found.join(ids, "__row").select("__row", "component_id", order.alias("order")), "found")
+    best = found.groupBy("component_id").agg(F.min("order")["row"].alias("best"))
+    dropped = found.join(best, "component_id").filter("__row <> best").select("__row")
+    return keyed.join(dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

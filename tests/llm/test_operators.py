@@ -239,6 +239,49 @@ def test_private_keys_are_whole_spans_counted_by_key(spark):
     assert masked[20] == "x [REDACTED][REDACTED]" and masked[21] == "a [REDACTED]" and masked[22] == rows[9][1] and masked[23] == "[REDACTED]"
 
 
+def test_pipeline_judges_rows_against_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(13)
+    say = lambda n: " ".join("the" if k % 10 == 0 else rng.choice(WORDS) for k in range(n))
+    items = [(k, " ".join(rng.choice(WORDS) for _ in range(40))) for k in range(3)]
+    a, b, c, d, e = (say(120) for _ in range(5))
+    leak = [f"{say(60)} {t} {say(60)}" for _, t in items]
+    rows = [(None, a), (None, a), (None, a + " end"), (5, b), (None, b + " end"), (5, b), (7, c), (7, d), (6, d + " end"), (7, e), (None, leak[0]), (8, leak[1]), (8, say(100)), (9, leak[2]), (9, leak[2])]
+    rows += [(20 + k, say(100)) for k in range(10)] + [(40, None), (41, "short")]
+    table = spark.createDataFrame([(i, t, "en", f"s{k % 4}", len(t or "")) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    left = [(r.doc_id, r.text) for r in pipeline.quality_rules(spark, table, "").collect()]
+    assert len(left) == len(rows) - 2
+    sets, root = [shingles(t) for _, t in left], list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [root[j] if x == root[i] else x for x in root]
+    groups = defaultdict(list)
+    for k, r in enumerate(root):
+        groups[r].append(left[k])
+    kept = pipeline.near_dedup(spark, pipeline.quality_rules(spark, table, ""), "")
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    least = lambda own: min((i is None, i or 0) for i, _ in own)
+    assert kept.columns == table.columns and len(got) == len(groups)
+    where = {t: r for (_, t), r in zip(left, root, strict=True)}
+    assert {where[t]: (i is None, i or 0) for i, t in got} == {r: least(own) for r, own in groups.items()}
+    want = Counter(x for x in got if not any(item in x[1] for _, item in items))
+    assert Counter((r.doc_id, r.text) for r in pipeline.benchmark_decontamination(spark, kept, str(tmp_path)).collect()) == want
+    assert Counter(r.doc_id for r in pipeline.run(spark, str(tmp_path)).collect()) == Counter(i for i, _ in want.elements())
+    dirty = Counter((i, t) for i, t in rows if t and not any(item in t for _, item in items))
+    assert Counter((r.doc_id, r.text) for r in pipeline.benchmark_decontamination(spark, table.filter("text IS NOT NULL"), str(tmp_path)).collect()) == dirty
+    two = spark.createDataFrame([(7, c), (7, d), (6, d + " end"), (8, say(100)), (9, c + " end")], "doc_id long, text string")
+    assert Counter((r.doc_id, r.component_id) for r in minhash.near_duplicates(two).collect())[8, 8] == 1
+
+
 def test_joined_pieces_encode_like_whole_texts():
     from tokenizers import Tokenizer
 
