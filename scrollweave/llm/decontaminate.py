@@ -51,12 +51,12 @@ def _running(shingles: np.ndarray, widest: int) -> np.ndarray:
 
 
 class SizeClass:
-    """The items of nearly one word count and the block tables of their fingerprints."""
+    """The items of nearly one word count, from ``least`` to ``most`` shingles, and the block tables of their fingerprints."""
 
-    def __init__(self, k: int, items: list[tuple[int, np.ndarray]], radius: int):
-        self.k, self.items, self.radius = k, items, radius
-        self.width = (len(items[0][1]) + len(items[-1][1])) // 2
-        self.slack = max(self.width - len(items[0][1]), len(items[-1][1]) - self.width)
+    def __init__(self, k: int, least: int, most: int, items: list[tuple[int, np.ndarray]], radius: int):
+        self.k, self.least, self.items, self.radius = k, least, items, radius
+        self.width = (least + most) // 2
+        self.slack = max(self.width - least, most - self.width)
         self.stride = max(1, self.width // 6)
         prints = np.concatenate([_pack(_bits(s).sum(0, dtype=np.int64), len(s)) for _, s in items])
         values = np.arange(1 << BITS, dtype=np.uint64)
@@ -98,36 +98,64 @@ class SizeClass:
         return np.concatenate([grid[inside], ends]), prints
 
 
+def _shapes(items: DataFrame, k: int) -> DataFrame:
+    """``(k, size, shingles)`` of each item: words and number of its shingles, and the distinct ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tv.slices(whole, ("item",)):
+                bounds, hashes = _words(batch.column("item"))
+                own = [tv.rolling(hashes[a:b], int(min(k, b - a))) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if b > a]
+                words = [int(min(k, n)) for n in np.diff(bounds) if n]
+                sets = [np.unique(s).view(np.int64) for s in own]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array([len(s) for s in own], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "size", "shingles"])
+
+    return items.select("item").mapInArrow(run, "k long, size long, shingles array<long>")
+
+
+def size_classes(shapes: list[tuple[int, int]]) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each ``(k, size)`` the least and the largest size of its class."""
+    out = {}
+    for k in {k for k, _ in shapes}:
+        sizes = sorted({n for own, n in shapes if own == k})
+        while sizes:
+            near = [n for n in sizes if n <= SPREAD * sizes[0]]
+            out |= {(k, n): (near[0], near[-1]) for n in near}
+            sizes = sizes[len(near) :]
+    return out
+
+
 class Index:
-    """Benchmark items by size, with shingle weights."""
+    """A block of benchmark items by size. Size classes (of ``size_classes``) and the ``shared`` shingles, ascending, with
+    the number of items that each is in, are those of all items: results don't depend on the split into blocks."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, radius: int):
+    def __init__(self, items: list[tuple[int, str]], k: int, radius: int, classes: dict[tuple[int, int], tuple[int, int]], shared: np.ndarray, often: np.ndarray):
         bounds, hashes = _words(pa.array([t for _, t in items], pa.string()))
-        by_k: dict[int, list[tuple[int, np.ndarray]]] = {}
-        often: Counter[int] = Counter()
+        groups: dict[tuple[int, int, int], list[tuple[int, np.ndarray]]] = {}
         for (item, _), a, b in zip(items, bounds[:-1], bounds[1:], strict=True):
             if b > a:
                 own = int(min(k, b - a))
                 shingles = tv.rolling(hashes[a:b], own)
-                by_k.setdefault(own, []).append((item, shingles))
-                often.update(set(shingles.tolist()))
-        #: A shingle that several items have says less; one that no item has weighs 1.
-        self.weight = {s: 1.0 / n for s, n in often.items() if n > 1}
-        self.shingles = np.array(sorted(often), np.uint64)
+                groups.setdefault((own, *classes[own, len(shingles)]), []).append((item, shingles))
+        self.shared, self.often = shared, often
+        self.shingles = np.unique(np.concatenate([shared, *(s for group in groups.values() for _, s in group)]))
         self.near = np.zeros(1 << 16, bool)
         self.near[(self.shingles >> np.uint64(48)).astype(np.int64)] = True
-        self.classes = []
-        for own, group in sorted(by_k.items()):
-            group.sort(key=lambda x: (len(x[1]), x[0]))
-            while group:
-                n = sum(len(s) <= SPREAD * len(group[0][1]) for _, s in group)
-                self.classes.append(SizeClass(own, group[:n], radius))
-                group = group[n:]
-
-    def similarity(self, x: np.ndarray, y: np.ndarray) -> float:
+        self.classes = [SizeClass(*key, sorted(group, key=lambda x: (len(x[1]), x[0])), radius) for key, group in sorted(groups.items())]
+
+    def weights(self, shingles: np.ndarray) -> dict[int, float]:
+        """A shingle that several items have says less; one that is left out weighs 1."""
+        if not len(self.shared):
+            return {}
+        place = np.minimum(np.searchsorted(self.shared, shingles), len(self.shared) - 1)
+        hit = self.shared[place] == shingles
+        return dict(zip(shingles[hit].tolist(), (1.0 / self.often[place[hit]]).tolist(), strict=True))
+
+    @staticmethod
+    def similarity(x: np.ndarray, y: np.ndarray, weights: dict[int, float]) -> float:
         """Weighted Jaccard similarity of two shingle multisets."""
         a, b = Counter(x.tolist()), Counter(y.tolist())
-        weight = self.weight.get
+        weight = weights.get
         both = sum(weight(s, 1.0) * min(n, b[s]) for s, n in a.items() if s in b)
         either = sum(weight(s, 1.0) * n for s, n in a.items()) + sum(weight(s, 1.0) * n for s, n in b.items()) - both
         return both / either if either else 0.0
@@ -153,7 +181,7 @@ class Index:
             starts, prints = c.windows(running, bounds)
             window, item = c.within(prints)
             starts, widths = starts[window], np.full(len(window), c.width)
-            for text in np.flatnonzero((length - c.k + 1 < c.width) & (length >= c.k) & (length - c.k + 1 >= threshold * len(c.items[0][1]))):
+            for text in np.flatnonzero((length - c.k + 1 < c.width) & (length >= c.k) & (length - c.k + 1 >= threshold * c.least)):
                 width = int(length[text]) - c.k + 1
                 _, more = c.within(_pack(running[bounds[text] + width] - running[bounds[text]], width))
                 starts, item, widths = np.append(starts, np.full(len(more), bounds[text])), np.append(item, more), np.append(widths, np.full(len(more), width))
@@ -174,8 +202,9 @@ class Index:
                         best[text, number] = (1.0, at - lo, len(own) + c.k - 1)
                 if best.get((text, number), (0.0,))[0] == 1.0:
                     continue
+                weights = self.weights(np.concatenate([own, runs[low : start + reach + width]]))
                 for at in range(low, min(start + reach, end - width) + 1):
-                    sim = self.similarity(own, runs[at : at + width])
+                    sim = self.similarity(own, runs[at : at + width], weights)
                     if sim >= threshold and sim > best.get((text, number), (0.0,))[0]:
                         best[text, number] = (sim, at - lo, width + c.k - 1)
             for (text, number), (sim, at, n) in best.items():
@@ -191,6 +220,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     last of each document; a document shorter than a window is one window.
 
     Items go to the tasks in blocks of ITEM_BYTES of text, however many there are; every block sees every document.
+    Shingles are counted over all items, and those that several items have go to every task (16 bytes each).
     Null and empty texts and items hold nothing, items with a null id are left out, documents with a null id give rows
     with it. Repeated items are one; repeated documents each give their rows. Other columns don't matter.
     """
@@ -198,13 +228,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     total = items.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // ITEM_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shapes = park(_shapes(items, shingle), "shapes")
+    classes = size_classes([tuple(r) for r in shapes.select("k", "size").distinct().collect()])
+    counts = shapes.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    shared, often = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(shared)
+    shared, often = shared[order], often[order]
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     out = None
     for block in range(n_blocks):
         own = [(r.item_id, r.item) for r in items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block).collect()]
 
         def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own) -> Iterator[pa.RecordBatch]:
-            index = Index(own, shingle, radius)
+            index = Index(own, shingle, radius, classes, shared, often)
             for whole in batches:
                 for batch in tv.slices(whole, ("text",), 1 << 19):
                     ids = batch.column("doc_id").to_pylist()

@@ -171,6 +171,24 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(table, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(17)
+    say = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    items, held = [], []
+    for k in range(8):
+        common = say(19 + k % 3)
+        for j in range(2):
+            words = common + say(15)
+            items.append((2 * k + j, " ".join(words)))
+            for last in (2, 3, 5, 6):
+                changed = [*words[:-last], "other", *words[len(words) - last + 1 :]]
+                held.append((100 * len(items) + last, " ".join(say(20) + changed + say(20))))
+    docs, benchmark = spark.createDataFrame(held, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = Counter(map(tuple, decontaminate.leaks(docs, benchmark).collect()))
+    monkeypatch.setattr(decontaminate, "ITEM_BYTES", 700)
+    assert Counter(map(tuple, decontaminate.leaks(docs, benchmark).collect())) == whole and 0 < len(whole) < len(held)
+
+
 def test_packing(docs):
     got = packing.pack(docs, n_buckets=4, budget=300).collect()
     assert len(got) == len(texts())
