@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrollweave.llm._scratch import park
+from scrollweave.llm._scratch import discard, park
 
 
 @dataclass(frozen=True)
@@ -66,14 +66,15 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-6) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, tolerance: float = 1e-6) -> DataFrame:
     """``(walk, host, score)`` from ``seeds (walk, host, mass)`` over ``links (src, dst, n)``.
 
     Walk ``trust`` follows the links, walk ``distrust`` follows them backwards: who links to a bad host is suspect.
     Both are personalised PageRank, ``score = seed + damping * incoming``, each host sharing its score over its links by
     their number; without the usual factor ``1 - damping`` an isolated host keeps its seed mass. A round is one join
     and one aggregation of both walks, written to the shared folder; it ends when scores move by less than
-    ``tolerance`` a seed in total. Only that total reaches the driver.
+    ``tolerance`` a seed in total. A round moves at most ``damping`` of what the one before it moved, so the rounds
+    that this takes follow from both (86 here at most). Only that total reaches the driver.
     """
     steps = links.select(F.lit("trust").alias("walk"), F.col("src").alias("host"), F.col("dst").alias("to"), "n")
     steps = steps.unionByName(links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
@@ -85,15 +86,17 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, rounds:
         return score
     seeds = park(seeds, "seeds")
     score, mass = park(score, "score"), seeds.agg(F.coalesce(F.sum("mass"), F.lit(0.0))).first()[0]
-    for _ in range(rounds):
+    if not 0 <= damping < 1:
+        raise ValueError("damping must be at least 0 and less than 1, else scores need not settle")
+    while True:
         flow = score.join(steps, ["walk", "host"]).select("walk", F.col("to").alias("host"), (F.col("score") * F.col("share") * damping).alias("mass"))
         after = park(seeds.unionByName(flow).groupBy("walk", "host").agg(F.sum("mass").alias("score")), "score")
         old = score.withColumnRenamed("score", "old")
         moved = after.join(old, ["walk", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        discard(score)
         score = after
         if (moved or 0.0) <= tolerance * max(mass, 1.0):
-            break
-    return score
+            return score
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.5, url_col: str = "url", html_col: str = "html", id_col: str = "page_id", damping: float = 0.85) -> DataFrame:

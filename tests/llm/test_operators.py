@@ -100,6 +100,13 @@ def test_url_propagation(spark):
     assert got[6][0][3] == "allow" and [g[3] for g in got[7]] == ["block", "block"]
 
 
+def test_url_scores_settle_on_long_chains(spark):
+    links = spark.createDataFrame([(f"h{k}", f"h{k + 1}", 2) for k in range(36)], "src string, dst string, n long")
+    seeds = spark.createDataFrame([("trust", "h0", 1.0)], "walk string, host string, mass double")
+    got = {r.host: r.score for r in urlfilter.propagate(seeds, links).collect()}
+    assert set(got) == {f"h{k}" for k in range(37)} and all(abs(got[f"h{k}"] - 0.85**k) < 1e-9 for k in range(37))
+
+
 def test_tokens(spark, docs, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
