@@ -85,7 +85,7 @@ class Sketcher:
             key = tv.mix(key * np.uint64(0x9E3779B97F4A7C15) + grid[:, j])
         bits = np.zeros(MAP_BITS, bool)
         bits[(shingles & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
-        signature = (low >> np.uint32(24)).astype(np.uint8).tobytes()
+        signature = (tv.mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()  # minima of long texts are small numbers
         return digest(shingles), signature, key.view(np.int64), np.packbits(bits).tobytes()
 
 

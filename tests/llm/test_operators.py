@@ -62,6 +62,13 @@ def test_bayes_floor_keeps_similar_pairs():
     assert minhash.posterior_floor(200, 0.8, 1e-7) < 140
 
 
+def test_signatures_of_unlike_long_texts_differ():
+    rng = np.random.default_rng(4)
+    sketch = minhash.Sketcher(40, 5)
+    x, y = (np.frombuffer(sketch(np.unique(rng.integers(0, 1 << 64, 2000, np.uint64)))[1], np.uint8) for _ in range(2))
+    assert (x == y).mean() < 0.05
+
+
 def test_chat_round_trip(spark):
     import public_tokenizers
 
