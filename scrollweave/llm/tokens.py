@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import batched
 
 import numpy as np
@@ -16,69 +17,109 @@ from pyspark.sql import functions as F
 from scrollweave.llm import _textvec as tv
 from scrollweave.llm._scratch import fresh
 
-#: Encoded pieces that a task keeps, some 30 MB; past this, it starts again. Pieces that one library call encodes, as
+#: Encoded pieces in one of the two generations that a worker keeps, some 30 MB. Pieces that one library call encodes, as
 #: strings of JOINED pieces each: a result of the library holds far more than the ids and costs more than most pieces.
 KNOWN, AT_ONCE, JOINED = 150_000, 4_096, 64
 SCHEMA = "file int, doc_id long, local_start long, n_tokens long, ids array<int>"
+MANIFEST = "file int, path string, first long, last long, nulls boolean, total long"
+#: Files whose manifest rows are broadcast: 16 bytes each, 16 MB at most. Beyond, the manifest is joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
+
+def _separable(tokenizer) -> bool:
+    """Whether the tokenizer drops white space and cuts there, by probes: pieces between white space can then be encoded
+    each by itself."""
+    if any(t.normalized or t.single_word or t.lstrip or t.rstrip or not t.content or t.content.split() != [t.content] for t in tokenizer.get_added_tokens_decoder().values()):
+        return False
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    probes = ["a", "the", "Word", "it's", "'s", "x.", "...", "(", "42", "1", "\u00e9", "\u4e2d", "\u0301", "<"]
+    gaps = [" ", "  ", "\n", "\t", "\r\n", "\x0b\x0c"]
+    if any(ids(g) or ids(f"{g}a{g}") != ids("a") for g in gaps):
+        return False
+    return all(ids(x + gaps[(i + j) % len(gaps)] + y) == ids(x) + ids(y) for i, x in enumerate(probes) for j, y in enumerate(probes))
+
+
+def _separator(tokenizer) -> tuple[str, int] | None:
+    """A rare symbol that the tokenizer has as one id between blanks."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    for c in map(chr, [*range(0x2500, 0x2800), *range(0x4E00, 0x4F00), *range(0xA1, 0x250)]):
+        one = ids(c)
+        if len(one) == 1 and ids(f"a {c} b") == [*ids("a"), *one, *ids("b")]:
+            return c, one[0]
+    return None
+
+
+def _folded(column: pa.LargeStringArray) -> pa.LargeStringArray:
+    data, offsets = tv.text_bytes(column)
+    return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(tv.FOLD[data]))
+
+
+@cache
 def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """A function from texts to ``(lengths, ids)``, the same as encoding each whole text without special tokens added.
 
-    For tokenizers that drop white space and never join across it. Texts are cut at ASCII white space, and each
-    distinct piece of a batch is encoded once. Up to KNOWN pieces stay known between batches. Pieces go to the library
-    joined by an added token, at which it cuts before all else, and whose id marks where the ids of a piece end; pieces
-    that spell this token, and all pieces where the tokenizer has none, go alone.
+    Made once in each Python worker, which serves many tasks. A tokenizer that does not cut at white space (probed) gets
+    whole texts. For others, texts are cut at ASCII white space and each distinct piece of a batch is encoded once; pieces
+    stay known for one to two generations of KNOWN. Where the tokenizer lower-cases, A-Z are folded first, but not in a
+    batch that spells one of its added tokens in any case. Pieces go to the library joined by a separator that is one id;
+    a group in which this id is found more often than it was put there is encoded piece by piece.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
-    added = tokenizer.get_added_tokens_decoder()
-    cutters = [i for i, t in added.items() if t.content and not (t.normalized or t.single_word or t.lstrip or t.rstrip)]
-    cutter = added[cutters[-1]].content if cutters else None
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    separable, between = _separable(tokenizer), _separator(tokenizer)
+    folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(_ALPHABET) == _ALPHABET.lower()
+    generations: list[dict[str, bytes]] = [{}, {}]
 
-    def alone(pieces: Iterable[str]) -> None:
-        for some in batched(pieces, AT_ONCE):
-            for piece, e in zip(some, tokenizer.encode_batch_fast(list(some), add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, np.int32).tobytes()
+    def encode(texts: Sequence[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def joined(pieces: list[str]) -> None:
+    def learn(pieces: list[str]) -> None:
+        known = generations[0]
         for some in batched(pieces, AT_ONCE):
-            groups = list(batched(some, JOINED))
-            found = tokenizer.encode_batch_fast([cutter.join(g) + cutter for g in groups], add_special_tokens=False)
-            for group, e in zip(groups, found, strict=True):
-                ids = np.array(e.ids, np.int32)
-                ends = np.flatnonzero(ids == cutters[-1])
+            groups = list(batched(some, JOINED if between else 1))
+            glue = f" {between[0]} " if between else ""
+            for group, ids in zip(groups, encode([glue.join(g) + glue for g in groups]), strict=True):
+                ends = np.flatnonzero(ids == between[1]) if between else np.array([len(ids)])
                 if len(ends) != len(group):
-                    alone(group)
+                    known.update(zip(group, (x.tobytes() for x in encode(group)), strict=True))
                     continue
                 data, at = ids.tobytes(), 0
                 for piece, end in zip(group, (4 * ends).tolist(), strict=True):
                     known[piece] = data[at:end]
                     at = end + 4
 
+    def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [x for some in batched(column.to_pylist(), 64) for x in encode(some)]
+        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.int64), *found])
+
     def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         column = pc.fill_null(column, "").cast(pa.large_string())
+        if not separable:
+            return whole(column)
+        if folds and not any(pc.any(pc.match_substring(column, a, ignore_case=True)).as_py() for a in added):
+            column = _folded(column)
         pieces = pc.ascii_split_whitespace(column)
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = pc.list_flatten(pieces).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         vocabulary = coded.dictionary.to_pylist()
-        if len(known) > KNOWN:
-            known.clear()
+        if len(generations[0]) > KNOWN:
+            generations[:] = [{}, generations[0]]
+        known, old = generations
         new = [p for p in vocabulary if p not in known]
-        plain = [p for p in new if cutter and cutter not in p]
-        joined(plain)
-        if len(plain) < len(new):
-            alone(p for p in new if p not in known)
+        known.update((p, old[p]) for p in new if p in old)
+        learn([p for p in new if p not in old])
         encoded = [known[p] for p in vocabulary]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        flat = np.frombuffer(b"".join(encoded), np.int32).astype(np.int64)
+        flat = np.frombuffer(b"".join(encoded), np.int32)
         first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        which = coded.indices.to_numpy().astype(np.int64)
+        which = coded.indices.to_numpy()
         lengths = size[which] if len(which) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
         source = np.arange(ends[-1]) + np.repeat((first[which] if len(which) else lengths) - ends[:-1], lengths)
@@ -91,49 +132,91 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stripe_mb: int = 64) -> None:
     """Write the ids of every text, ``end_id`` after each, as ORC files under ``path`` in ascending id order.
 
-    Rows are dealt by ranges of the id and sorted in each range by id, then text; file ``k`` holds range ``k``. Each
-    row knows the ids before it in its file. Stripes have integer run-length encoding, row indexes each 1,000 rows and
-    Bloom filters on ``doc_id``.
+    Rows are dealt by ranges of the id and, so that many rows of one id make several files, of the text's beginning and
+    hash and the row's place in the input; file ``k`` holds range ``k``, and each row knows the ids before it in its file.
+    ``files`` ranges are made, or as many as the session has shuffle partitions. Stripes have integer run-length
+    encoding, row indexes each 1,000 rows and Bloom filters on ``doc_id``. ``path/_manifest`` has a row for each file.
+
+    Null and empty texts have the end id alone, null ids come first, repeated rows are rows like others, an empty table
+    makes no file with rows; other columns don't matter.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    files = files or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    rows = rows.select("doc_id", F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"), "text")
+    order = ("doc_id", "begin", "hash", "place")
+    dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
+    ordered = dealt.sortWithinPartitions("doc_id", "begin", "hash", "text").select("doc_id", "text", F.spark_partition_id().alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), 0
         for whole in batches:
             for batch in tv.slices(whole, ("text",), 1 << 22):
                 lengths, ids = encode(batch.column("text"))
-                ends = np.cumsum(lengths)
-                ids = np.insert(ids, ends, end_id)
+                ids = np.insert(ids, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("file").cast(pa.int32()), batch.column("doc_id"), pa.array(before + ends[:-1]), pa.array(lengths), lists], ["file", "doc_id", "local_start", "n_tokens", "ids"])
                 before += int(ends[-1])
 
-    out = ordered.mapInArrow(run, SCHEMA)
     options = {"orc.compress": "ZSTD", "orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
-    out.write.options(**options).mode("overwrite").orc(path)
+    ordered.mapInArrow(run, SCHEMA).write.options(**options).mode("overwrite").orc(path)
+    written = docs.sparkSession.read.schema(SCHEMA).orc(path).withColumn("path", F.input_file_name())
+    summary = written.groupBy("file").agg(F.first("path").alias("path"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max(F.col("doc_id").isNull()).alias("nulls"), F.sum("n_tokens").alias("total"))
+    summary.write.mode("overwrite").parquet(f"{path}/_manifest")
+
+
+def _begins(spark: SparkSession, path: str) -> DataFrame:
+    """``file, path, first, last, nulls, begin``: the manifest, with the ids before each file. One row a file."""
+    manifest = spark.read.schema(MANIFEST).parquet(f"{path}/_manifest")
+    return manifest.withColumn("begin", F.sum("total").over(Window.orderBy("file")) - F.col("total")).drop("total")
+
+
+def _placed(rows: DataFrame, begins: DataFrame) -> DataFrame:
+    begins = begins.select(F.col("file").alias("__file"), F.col("begin").alias("__begin"))
+    if begins.count() <= MOST_BROADCAST:
+        begins = F.broadcast(begins)
+    return rows.join(begins, F.col("file") == F.col("__file")).select("doc_id", (F.col("__begin") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids`` from the files; filters on ``doc_id`` reach stripes, row indexes and Bloom filters.
 
-    Where a file begins is a sum over one total a file; the window runs over that table alone.
+    Where a file begins is a sum over the manifest, which has one row a file and is broadcast up to MOST_BROADCAST rows:
+    ids are not shuffled.
     """
-    rows = spark.read.schema(SCHEMA).orc(path)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("__total"))
-    begin = totals.select("file", (F.sum("__total").over(Window.orderBy("file")) - F.col("__total")).alias("__begin"))
-    return rows.join(begin, "file").select("doc_id", (F.col("__begin") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return _placed(spark.read.schema(SCHEMA).orc(path), _begins(spark, path))
+
+
+def read_documents(spark: SparkSession, path: str, ids: Sequence[int | None]) -> DataFrame:
+    """The rows of ``read_tokens`` for a few ``ids`` (null included): only files whose range has one are opened."""
+    begins, wanted = _begins(spark, path), [i for i in ids if i is not None]
+    near = F.lit(False)
+    for i in wanted:
+        near = near | F.lit(i).between(F.col("first"), F.col("last"))
+    own = F.col("doc_id").isin(wanted)
+    if None in ids:
+        near, own = near | F.col("nulls"), own | F.col("doc_id").isNull()
+    paths = [r.path for r in begins.filter(near).select("path").collect()]
+    rows = spark.read.schema(SCHEMA).orc(paths) if paths else spark.createDataFrame([], SCHEMA)
+    return _placed(rows.filter(own), begins)
+
+
+def stripes(path: str) -> int:
+    """The number of stripes of one file, by its URI or local path."""
+    return _orc(path).nstripes
 
 
 def read_stripe(path: str, stripe: int) -> pa.RecordBatch:
-    """One stripe of one local file, for readers that take stripes in parallel."""
-    from pyarrow import orc
+    """One stripe of one file (a URI or local path), for readers that take stripes in parallel."""
+    return _orc(path).read_stripe(stripe)
+
+
+def _orc(path: str):
+    from pyarrow import fs, orc
 
-    return orc.ORCFile(path).read_stripe(stripe)
+    store, place = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    return orc.ORCFile(store.open_input_file(place))
 
 
 def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | None = None, **options) -> DataFrame:
@@ -141,7 +224,8 @@ def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
 
     ``start`` counts the ids of all documents before, ``n_tokens`` has the end id, ``ids_crc32`` is the unsigned CRC-32
     of the ids as little-endian unsigned 32-bit integers. A null or empty text has the end id alone. Null ids come
-    first; repeated ids stand in the order of their texts. Other columns don't matter.
+    first; rows of one id stand in the order of the first 32 characters of their texts, then of a hash. Repeated rows give a
+    row each, an empty table an empty result; other columns don't matter.
     """
     path = path or fresh(docs.sparkSession, "orc")
     write_tokens(docs, path, tokenizer, end_id, **options)
