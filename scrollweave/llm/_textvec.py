@@ -68,12 +68,11 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
-    """``(bounds, hashes)``: the words of text ``i`` are ``hashes[bounds[i]:bounds[i + 1]]``."""
+def _spans(column: pa.Array, separators: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(bounds, start, end, total, down)``: the words of text ``i`` are ``bounds[i]:bounds[i + 1]``, each with its first byte
+    and the one behind it; the prefix sums of folded bytes and the inverse powers that hash them."""
     data, offsets = text_bytes(column)
     n = len(data)
-    if not n:
-        return np.zeros(len(offsets), np.int64), np.zeros(0, _U)
     inside = ~separators[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -86,8 +85,29 @@ def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray =
     up, down = _power_tables(n)
     total = np.zeros(n + 1, _U)
     np.cumsum((fold[data].astype(_U) + _U(1)) * up[:n], out=total[1:])
+    return np.searchsorted(start, offsets), start, end, total, down
+
+
+def _hashed(start: np.ndarray, end: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
     hashes = (total[end] - total[start]) * down[start]
-    return np.searchsorted(start, offsets), mix(hashes ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
+    return mix(hashes ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
+
+
+def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
+    """``(bounds, hashes)``: the words of text ``i`` are ``hashes[bounds[i]:bounds[i + 1]]``."""
+    bounds, start, end, total, down = _spans(column, separators, fold)
+    return bounds, _hashed(start, end, total, down)
+
+
+def beginnings(column: pa.Array, sizes: tuple[int, ...], separators: np.ndarray = SPACES, fold: np.ndarray = FOLD) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """``(bounds, kinds)``: bounds as of ``words``; kinds has the places of all words and their hashes and then, for each of
+    ``sizes``, the places of the words with more bytes and the hashes of their first so many bytes."""
+    bounds, start, end, total, down = _spans(column, separators, fold)
+    kinds = [(np.arange(len(start)), _hashed(start, end, total, down))]
+    for size in sizes:
+        at = np.flatnonzero(end - start > size)
+        kinds.append((at, _hashed(start[at], start[at] + size, total, down)))
+    return bounds, kinds
 
 
 def _multipliers(k: int) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 One weight vector serves all thresholds: ``P(grade <= k) = sigmoid(theta_k - w x)`` with ascending ``theta``. Features
-are hashed words, present or not; few of them, chosen by their association with the label, have a weight. The model is
-fitted on a bounded sample of labelled rows and scores whole texts in one Arrow pass.
+are hashed words and word beginnings, present or not; few of them, chosen by their association with the label, have a
+weight. The model is fitted on a bounded sample of labelled rows and scores whole texts in one Arrow pass.
 
 Grades are 0 (clean), 1 (toxic) and 2 (severely toxic).
 """
@@ -22,11 +22,13 @@ from scrollweave.llm._scratch import discard, park
 
 #: Labelled texts that a fit takes at most.
 SAMPLE_ROWS = 20_000
+#: Bytes of word beginnings that are features beside whole words; the low bits of a feature's hash say which it is.
+BEGINNINGS, KIND_BITS = (4, 5, 6, 7), 3
 
 
 @dataclass
 class Model:
-    features: np.ndarray  # sorted word hashes
+    features: np.ndarray  # sorted hashes of words and beginnings
     weights: np.ndarray
     cuts: np.ndarray  # ascending, one less than grades
 
@@ -41,7 +43,7 @@ class Model:
 
 
 def _present(bounds: np.ndarray, hashes: np.ndarray, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ``(text, place in features)`` pairs; features are sorted word hashes."""
+    """Distinct ``(text, place in features)`` pairs; features are sorted hashes."""
     if not len(features):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     near = np.zeros(1 << 16, bool)
@@ -55,15 +57,21 @@ def _present(bounds: np.ndarray, hashes: np.ndarray, features: np.ndarray) -> tu
 
 
 def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return tv.words(column, tv.PUNCTUATION)
+    """Words and beginnings of longer words, of text ``i`` in ``hashes[bounds[i]:bounds[i + 1]]``."""
+    bounds, kinds = tv.beginnings(column, BEGINNINGS, tv.PUNCTUATION)
+    mask = np.uint64((1 << KIND_BITS) - 1)
+    owner = np.concatenate([np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[at] for at, _ in kinds])
+    hashes = np.concatenate([(h & ~mask) | np.uint64(k) for k, (_, h) in enumerate(kinds)])
+    order = np.argsort(owner, kind="stable")
+    return np.searchsorted(owner[order], np.arange(len(bounds))), hashes[order]
 
 
-def choose(sample: DataFrame, n: int, toxic: int, most: int = 512, least_texts: int = 5, least_share: float = 0.05, chi2: float = 40.0) -> np.ndarray:
+def choose(sample: DataFrame, n: int, toxic: int, most: int = 2048, least_texts: int = 5, least_share: float = 0.005, chi2: float = 30.0) -> np.ndarray:
     """Features that toxic texts have more often, by the chi-square statistic, ``most`` at most, of ``sample (__toxic,
-    __words)`` with ``n`` texts and ``toxic`` toxic ones. Words are counted in Spark; only features reach the driver.
+    __words)`` with ``n`` distinct texts and ``toxic`` toxic ones. They are counted in Spark; only features reach the driver.
 
-    A feature is in ``least_texts`` texts and ``least_share`` of the toxic ones at least: copies of one toxic text would
-    else make features of its rare words.
+    A feature is in ``least_texts`` distinct texts and ``least_share`` of the toxic ones at least: a few near copies of one
+    toxic text would else make features of its rare words.
     """
     if not 0 < toxic < n:
         return np.zeros(0, np.uint64)
@@ -113,6 +121,16 @@ def fit(features: np.ndarray, owner: np.ndarray, feature: np.ndarray, toxic: np.
     return Model(features, w, np.array([first, first + np.exp(step)]))
 
 
+def _told_apart(features: np.ndarray, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
+    """Of features that stand in the same texts one: the whole word rather than a beginning, else the shortest one."""
+    order = np.lexsort((owner, feature))
+    owner, ends = owner[order], np.searchsorted(feature[order], np.arange(len(features) + 1))
+    first: dict[bytes, int] = {}
+    for k in np.argsort(features & np.uint64((1 << KIND_BITS) - 1), kind="stable").tolist():
+        first.setdefault(owner[ends[k] : ends[k + 1]].tobytes(), k)
+    return np.array(sorted(first.values()), np.int64)
+
+
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(__id, __hash, __toxic, __words)``: each text as the sorted distinct hashes of its words."""
     for whole in batches:
@@ -135,7 +153,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
 
     Chosen texts count whole, however long, and move as the hashes of their distinct words. Words are counted in Spark,
     so the driver gets the features and their places in each text, not the texts. Labels are read first, so only
-    chosen texts move. Repeated rows count once; further texts of one id come after the first texts of all ids.
+    chosen texts move. Equal texts count once, as toxic if one is labelled so; further texts of one id come after the first
+    texts of all ids. Rows without id, label or text take no part; without labels of both kinds nothing is toxic or, where
+    all labels say so, everything by its share. Other columns don't matter.
     """
     clean = labels.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("__toxic")).filter("__id IS NOT NULL AND __toxic IS NOT NULL")
     chosen = clean.groupBy("__id").agg((F.max("__toxic") > 0).cast("int").alias("__toxic")).orderBy(F.xxhash64("__id"), "__id").limit(sample_rows)
@@ -143,8 +163,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     found = rows.join(F.broadcast(chosen), "__id").select("__id", F.xxhash64("__text").alias("__hash"), "__toxic", "__text")
     held = park(found.mapInArrow(_word_sets, "__id long, __hash long, __toxic int, __words array<long>").dropDuplicates(["__id", "__hash"]), "words")
     rank = F.row_number().over(Window.partitionBy("__id").orderBy("__hash"))
-    picked = held.select("__id", "__hash", rank.alias("__rank")).orderBy("__rank", F.xxhash64("__id"), "__id").limit(sample_rows)
-    sample = held.join(F.broadcast(park(picked.select("__id", "__hash"), "picked")), ["__id", "__hash"], "left_semi")
+    ranked = held.select("__id", "__hash", "__toxic", F.struct(rank.alias("rank"), F.xxhash64("__id").alias("deal"), "__id").alias("__order"))
+    picked = ranked.groupBy("__hash").agg(F.max("__toxic").alias("__toxic"), F.min("__order").alias("__order")).orderBy("__order").limit(sample_rows)
+    sample = held.select("__hash", "__words").dropDuplicates(["__hash"]).join(F.broadcast(park(picked.select("__hash", "__toxic"), "picked")), "__hash")
     features = choose(sample, *sample.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first())
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,15 +174,20 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
             owner, feature = _present(bounds, hashes.view(np.uint64), features)
             offsets = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             at = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(feature, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("__id", "__hash", "__toxic")), at], ["__id", "__hash", "__toxic", "__at"])
+            yield pa.RecordBatch.from_arrays([batch.column("__hash"), batch.column("__toxic"), at], ["__hash", "__toxic", "__at"])
 
-    placed = sample.select("__id", "__hash", "__toxic", "__words").mapInArrow(places, "__id long, __hash long, __toxic int, __at array<int>")
-    kept = placed.orderBy(F.xxhash64("__id"), "__id", "__hash").select("__toxic", "__at").toArrow()
+    placed = sample.select("__hash", "__toxic", "__words").mapInArrow(places, "__hash long, __toxic int, __at array<int>")
+    kept = placed.orderBy("__hash").select("__toxic", "__at").toArrow()
     discard(held)
     if not kept.num_rows:
         return fit(features, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     bounds, feature = _lists(kept.column("__at").combine_chunks())
-    return fit(features, np.repeat(np.arange(kept.num_rows), np.diff(bounds)), feature, kept.column("__toxic").to_numpy() > 0)
+    owner, toxic = np.repeat(np.arange(kept.num_rows), np.diff(bounds)), kept.column("__toxic").to_numpy() > 0
+    apart = _told_apart(features, owner, feature)
+    place = np.full(len(features), -1)
+    place[apart] = np.arange(len(apart))
+    held_ = np.flatnonzero(place[feature] >= 0)
+    return fit(features[apart], owner[held_], place[feature[held_]], toxic)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
