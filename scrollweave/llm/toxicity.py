@@ -122,13 +122,14 @@ def fit(features: np.ndarray, owner: np.ndarray, feature: np.ndarray, toxic: np.
 
 
 def _told_apart(features: np.ndarray, owner: np.ndarray, feature: np.ndarray) -> np.ndarray:
-    """Of features that stand in the same texts one: the whole word rather than a beginning, else the shortest one."""
+    """Places of all whole words, and of the beginnings that don't stand in the same texts as a word or a shorter one."""
     order = np.lexsort((owner, feature))
     owner, ends = owner[order], np.searchsorted(feature[order], np.arange(len(features) + 1))
     first: dict[bytes, int] = {}
-    for k in np.argsort(features & np.uint64((1 << KIND_BITS) - 1), kind="stable").tolist():
+    kind = features & np.uint64((1 << KIND_BITS) - 1)
+    for k in np.argsort(kind, kind="stable").tolist():
         first.setdefault(owner[ends[k] : ends[k + 1]].tobytes(), k)
-    return np.array(sorted(first.values()), np.int64)
+    return np.union1d(np.flatnonzero(kind == 0), np.array(sorted(first.values()), np.int64))
 
 
 def _word_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
