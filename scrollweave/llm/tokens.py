@@ -25,7 +25,8 @@ MANIFEST = "file int, path string, first long, last long, nulls boolean, total l
 #: Files whose manifest rows are broadcast: 16 bytes each, 16 MB at most. Beyond, the manifest is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_ALPHABET, _MARKS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_BEFORE_MARKS = r"([\pL\pN])[!-/:-@\[-`{-~]+$"
 
 
 def _separable(tokenizer) -> bool:
@@ -41,6 +42,13 @@ def _separable(tokenizer) -> bool:
     return all(ids(x + gaps[(i + j) % len(gaps)] + y) == ids(x) + ids(y) for i, x in enumerate(probes) for j, y in enumerate(probes))
 
 
+def _cuts_marks(tokenizer) -> bool:
+    """Whether the tokenizer cuts between a letter or digit and the ASCII marks that end a piece, by probes."""
+    ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
+    tails = [*_MARKS, *(a + b for a in _MARKS for b in ".,'\")!")]
+    return all(ids(x + t) == ids(x) + ids(t) for x in ("word", "it's", "42", "caf\u00e9", "\u4e2d", "x-y") for t in tails)
+
+
 def _separator(tokenizer) -> tuple[str, int] | None:
     """A rare symbol that the tokenizer has as one id between blanks."""
     ids = lambda t: tokenizer.encode(t, add_special_tokens=False).ids
@@ -57,13 +65,15 @@ def _folded(column: pa.LargeStringArray) -> pa.LargeStringArray:
 
 
 @cache
-def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """A function from texts to ``(lengths, ids)``, the same as encoding each whole text without special tokens added.
+def encoder(path: str) -> Callable[..., tuple[np.ndarray, np.ndarray | None]]:
+    """A function from texts to ``(lengths, ids)``, the same as encoding each whole text without special tokens added;
+    with ``ids=False`` to lengths alone.
 
     Made once in each Python worker, which serves many tasks. A tokenizer that does not cut at white space (probed) gets
     whole texts. For others, texts are cut at ASCII white space and each distinct piece of a batch is encoded once; pieces
     stay known for one to two generations of KNOWN. Where the tokenizer lower-cases, A-Z are folded first, but not in a
-    batch that spells one of its added tokens in any case. Pieces go to the library joined by a separator that is one id;
+    batch that spells one of its added tokens in any case; nor are marks at the end of pieces cut off there, which else are
+    pieces of their own if the tokenizer cuts before them (probed). Pieces go to the library joined by a separator that is one id;
     a group in which this id is found more often than it was put there is encoded piece by piece.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -72,6 +82,7 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     tokenizer = Tokenizer.from_file(path)
     added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     separable, between = _separable(tokenizer), _separator(tokenizer)
+    cuts = _cuts_marks(tokenizer)
     folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(_ALPHABET) == _ALPHABET.lower()
     generations: list[dict[str, bytes]] = [{}, {}]
 
@@ -97,11 +108,12 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         found = [x for some in batched(column.to_pylist(), 64) for x in encode(some)]
         return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.int64), *found])
 
-    def run(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def run(column: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         column = pc.fill_null(column, "").cast(pa.large_string())
         if not separable:
             return whole(column)
-        if folds and not any(pc.any(pc.match_substring(column, a, ignore_case=True)).as_py() for a in added):
+        plain = not any(pc.any(pc.match_substring(column, a, ignore_case=True)).as_py() for a in added)
+        if folds and plain:
             column = _folded(column)
         pieces = pc.ascii_split_whitespace(column)
         counts = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -109,31 +121,50 @@ def encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
         vocabulary = coded.dictionary.to_pylist()
+        heads = pc.replace_substring_regex(coded.dictionary, _BEFORE_MARKS, r"\1").to_pylist() if cuts and plain else vocabulary
+        tails = [v[len(h) :] for v, h in zip(vocabulary, heads, strict=True)]
         if len(generations[0]) > KNOWN:
             generations[:] = [{}, generations[0]]
         known, old = generations
-        new = [p for p in vocabulary if p not in known]
+        new = [p for p in {*heads, *tails} if p not in known]
         known.update((p, old[p]) for p in new if p in old)
         learn([p for p in new if p not in old])
-        encoded = [known[p] for p in vocabulary]
+        encoded = [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)]
         size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        flat = np.frombuffer(b"".join(encoded), np.int32)
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
         which = coded.indices.to_numpy()
         lengths = size[which] if len(which) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        source = np.arange(ends[-1]) + np.repeat((first[which] if len(which) else lengths) - ends[:-1], lengths)
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        return ends[bounds[1:]] - ends[bounds[:-1]], flat[source]
+        per_text = ends[bounds[1:]] - ends[bounds[:-1]]
+        if not ids:
+            return per_text, None
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        source = np.arange(ends[-1]) + np.repeat((first[which] if len(which) else lengths) - ends[:-1], lengths)
+        return per_text, np.frombuffer(b"".join(encoded), np.int32)[source]
 
     return run
 
 
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_tokens``: the number of ids of every text and one end id, in one pass without a shuffle. A null text has
+    the end id alone; null ids and repeated rows are rows like others; other columns don't matter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for whole in batches:
+            for batch in tv.slices(whole, ("text",), 1 << 22):
+                lengths, _ = encode(batch.column("text"), ids=False)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths + 1)], ["doc_id", "n_tokens"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", files: int | None = None, stripe_mb: int = 64) -> None:
     """Write the ids of every text, ``end_id`` after each, as ORC files under ``path`` in ascending id order.
 
-    Rows are dealt by ranges of the id and, so that many rows of one id make several files, of the text's beginning and
-    hash and the row's place in the input; file ``k`` holds range ``k``, and each row knows the ids before it in its file.
+    Rows are dealt by ranges of the id and, so that many rows of one id make several files, of the first 32 characters of
+    the text and the row's place in the input; file ``k`` holds range ``k``, and each row knows the ids before it in its file.
     ``files`` ranges are made, or as many as the session has shuffle partitions. Stripes have integer run-length
     encoding, row indexes each 1,000 rows and Bloom filters on ``doc_id``. ``path/_manifest`` has a row for each file.
 
@@ -142,10 +173,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"), "text")
-    order = ("doc_id", "begin", "hash", "place")
+    rows = rows.select("doc_id", F.substring("text", 1, 32).alias("begin"), F.monotonically_increasing_id().alias("place"), "text")
+    order = ("doc_id", "begin", "place")
     dealt = rows.repartitionByRange(files, *order) if files else rows.repartitionByRange(*order)
-    ordered = dealt.sortWithinPartitions("doc_id", "begin", "hash", "text").select("doc_id", "text", F.spark_partition_id().alias("file"))
+    ordered = dealt.sortWithinPartitions("doc_id", "text").select("doc_id", "text", F.spark_partition_id().alias("file"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), 0
@@ -224,7 +255,7 @@ def token_digest(docs: DataFrame, tokenizer: str, end_id: int = 2, path: str | N
 
     ``start`` counts the ids of all documents before, ``n_tokens`` has the end id, ``ids_crc32`` is the unsigned CRC-32
     of the ids as little-endian unsigned 32-bit integers. A null or empty text has the end id alone. Null ids come
-    first; rows of one id stand in the order of the first 32 characters of their texts, then of a hash. Repeated rows give a
+    first; rows of one id stand in the order of the first 32 characters of their texts. Repeated rows give a
     row each, an empty table an empty result; other columns don't matter.
     """
     path = path or fresh(docs.sparkSession, "orc")
