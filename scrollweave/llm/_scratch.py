@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,17 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where it is unset (tests on one machine) a temporary folder becomes it."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's part of the cluster's ``spark.checkpoint.dir``, or else of the context's checkpoint folder.
+
+    Where neither is set, a session on this one machine (tests) gets a temporary folder, which goes when Python ends; on
+    a cluster that is an error, as executors would write to disks that others don't see.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="scrollweave-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
 def fresh(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/llm-{label}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def park(df: DataFrame, label: str) -> DataFrame:
@@ -30,9 +39,17 @@ def park(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a parked table that no later read needs."""
-    spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, name)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all that this application has parked, when the results that read from it have been written elsewhere."""
+    _delete(spark, shared_dir(spark))
