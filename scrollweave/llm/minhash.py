@@ -2,20 +2,23 @@
 
 Plan, with every intermediate table in the shared folder:
 
-1. One Arrow pass over the texts gives each row its shingle count, a 64-bit digest of its shingle set (the node; equal
-   sets share a node), an 8-bit MinHash signature and the hashes of its bands.
+1. One Arrow pass over the texts gives each row its shingle count, a 128-bit digest of its shingle set, an 8-bit MinHash
+   signature and the hashes of its bands. Equal sets share a node, which the lower half of the digest names; should sets
+   with different upper halves meet in one, all but one get names of their own.
 2. Every band bucket gets its smallest node as hub by a minimum aggregation. All nodes are compared with the hubs of
    their buckets: as many candidates as bucket members, however large a bucket is.
 3. Sequential Bayesian pruning drops a candidate after any batch of signature positions in which the posterior chance
    of a similarity over the threshold is under ``miss``. A bit map of each set then gives an upper bound of the
    similarity, which excludes most pairs that are a little under the threshold and none over it. Survivors are confirmed
    on the full shingle sets.
-4. Buckets whose nodes are still in more than one component are compared exhaustively across components (large ones in
-   blocks that send on only what survives pruning), so that no banded candidate is lost by the hubs.
+4. In buckets whose nodes are still in more than one component, all nodes outside the largest component are compared with
+   all nodes of other components (in blocks if the bucket is large; only signatures move), so that no banded candidate is
+   lost by the hubs, and a few strays in a large bucket cost no more than a pass over it.
 5. Components by large and small stars.
 
 With ``bands`` x ``rows`` = 40 x 5 a pair at similarity 0.8 exactly has no common bucket with probability 1.3e-7 and is
-pruned with at most 8e-7; more similar pairs less. Two different sets share a digest with probability 2**-64 a pair.
+pruned with at most 8e-7; more similar pairs less. Sets hold 64-bit hashes of shingles: of two texts of n shingles, two
+different shingles are taken for equal with probability n**2 / 2**64 at most.
 """
 
 from __future__ import annotations
@@ -53,10 +56,10 @@ def posterior_floor(n: int, threshold: float, miss: float) -> int:
     return n
 
 
-def digest(shingles: np.ndarray) -> int:
-    """The node of a shingle set, a signed 64-bit number."""
-    x = xxhash.xxh3_64_intdigest(shingles.tobytes())
-    return x - (1 << 64) if x >> 63 else x
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """The lower and the upper half of a shingle set's digest, signed 64-bit numbers."""
+    x = xxhash.xxh3_128_intdigest(shingles.tobytes())
+    return tuple(h - (1 << 64) if h >> 63 else h for h in (x & ((1 << 64) - 1), x >> 64))
 
 
 class Sketcher:
@@ -77,7 +80,7 @@ class Sketcher:
             np.minimum(low, part.min(1), out=low)
         return low
 
-    def __call__(self, shingles: np.ndarray) -> tuple[int, bytes, np.ndarray, bytes]:
+    def __call__(self, shingles: np.ndarray) -> tuple[int, bytes, np.ndarray, bytes, int]:
         low = self.minima(shingles)
         grid = low.reshape(self.bands, self.rows).astype(np.uint64)
         key = np.arange(1, self.bands + 1, dtype=np.uint64)
@@ -86,29 +89,31 @@ class Sketcher:
         bits = np.zeros(MAP_BITS, bool)
         bits[(shingles & np.uint64(MAP_BITS - 1)).astype(np.int64)] = True
         signature = (tv.mix(low.astype(np.uint64)) >> np.uint64(56)).astype(np.uint8).tobytes()  # minima of long texts are small numbers
-        return digest(shingles), signature, key.view(np.int64), np.packbits(bits).tobytes()
+        node, twin = digest(shingles)
+        return node, signature, key.view(np.int64), np.packbits(bits).tobytes(), twin
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int) -> DataFrame:
-    """``(id, n_shingles, node, signature, buckets, bits)`` for each row; node and what follows are null without a shingle."""
+    """``(id, n_shingles, node, twin, signature, buckets, bits)`` for each row; node and what follows are null without a
+    shingle."""
 
     def run(batches):
         sketch = Sketcher(bands, rows)
         for whole in batches:
             for batch in tv.slices(whole, ("text",)):
                 bounds, hashes = tv.words(batch.column("text"))
-                n, node, signature, buckets, bits = [], [], [], [], []
+                n, node, twin, signature, buckets, bits = [], [], [], [], [], []
                 for s in tv.shingle_sets(bounds, hashes, shingle):
                     n.append(len(s))
-                    for out, x in zip((node, signature, buckets, bits), sketch(s) if len(s) else (None,) * 4, strict=True):
+                    for out, x in zip((node, signature, buckets, bits, twin), sketch(s) if len(s) else (None,) * 5, strict=True):
                         out.append(x)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-                    ["id", "n_shingles", "node", "signature", "buckets", "bits"],
+                    [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
+                    ["id", "n_shingles", "node", "twin", "signature", "buckets", "bits"],
                 )
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "id long, n_shingles long, node long, signature binary, buckets array<long>, bits binary")
+    return chosen.mapInArrow(run, "id long, n_shingles long, node long, twin long, signature binary, buckets array<long>, bits binary")
 
 
 def _floors(size: int, threshold: float, miss: float) -> list[tuple[int, int, int]]:
@@ -161,9 +166,9 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             for batch in tv.slices(whole, ("ta", "tb")):
                 sets = [list(tv.shingle_sets(*tv.words(batch.column(c)), shingle)) for c in ("ta", "tb")]
                 keep = []
-                ends = (batch.column(c).to_pylist() for c in "ab")
+                ends = (batch.column(c).to_pylist() for c in ("va", "vb"))
                 for k, (x, y, a, b) in enumerate(zip(*sets, *ends, strict=True)):
-                    if (digest(x), digest(y)) != (a, b):  # the id stands on another text as well
+                    if (digest(x)[1], digest(y)[1]) != (a, b):  # the id stands on another text as well
                         continue
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     if both and den * both >= num * (len(x) + len(y) - both):
@@ -171,42 +176,58 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                 yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ends, "rep").select("node", "text")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ends, "rep").select("node", "twin", "text")
+    side = lambda s: texts.select(F.col("node").alias(s), F.col("twin").alias(f"v{s}"), F.col("text").alias(f"t{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "va", "vb", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def _across(members: DataFrame, signed: DataFrame, floors: list[tuple[int, int, int]], num: int, den: int) -> DataFrame:
-    """Unpruned pairs of different components among ``(bucket, node, root)``, every one within a bucket considered."""
-    mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
-    mixed = park(mixed.filter("lo <> hi AND n > 2").select("bucket", "n"), "mixed")
-    within = members.join(mixed.withColumnRenamed("n", "held"), "bucket")
+    """Unpruned pairs of different components among ``(bucket, node, root)``, every one within a bucket considered.
+
+    Each pair has an end outside the largest component of its bucket, a stray. All nodes of a bucket make rows of BLOCK
+    nodes, strays also columns; a node goes to the blocks of its row and a stray to those of its column as well.
+    """
+    parts = members.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    held = parts.groupBy("bucket").agg(F.sum("n").alias("held"), F.max(F.col("n")).alias("top"), F.max_by("root", "n").alias("major"), F.count("*").alias("parts"))
+    mixed = park(held.filter("parts > 1 AND held > 2").select("bucket", "held", "major", (F.col("held") - F.col("top")).alias("strays")), "mixed")
+    within = members.join(mixed, "bucket").withColumn("stray", F.col("root") != F.col("major"))
     few = within.filter(F.col("held") <= SMALL)
-    pairs = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra")).join(few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb")), "bucket")
-    pairs = _prune(pairs.filter("a < b AND ra <> rb").select("a", "b").distinct(), signed, floors, num, den)
+    side = lambda s: few.select("bucket", F.col("node").alias(s), F.col("root").alias(f"r{s}"), F.col("stray").alias(f"s{s}"))
+    pairs = side("a").join(side("b"), "bucket").filter("a < b AND ra <> rb AND (sa OR sb)").select("a", "b")
     size = floors[-1][1]
 
     def run(key, table):
-        i, j = key[1].as_py(), key[2].as_py()
-        node, root, block = (table.column(c).to_numpy() for c in ("node", "root", "block"))
-        n, sig, bits = table.column("n").to_numpy(), _matrix(table.column("signature"), size), _matrix(table.column("bits"), MAP_BITS // 8).view(np.uint64)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
-        for x in left:
-            y = right[(root[right] != root[x]) & ((node[right] > node[x]) if i == j else True)]
+        node, root, column = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "column"))
+        stray, sig = table.column("stray").to_numpy(zero_copy_only=False), _matrix(table.column("signature"), size)
+        rows, a, b = np.flatnonzero(~column), [], []
+        for x in np.flatnonzero(column):
+            y = rows[(root[rows] != root[x]) & (~stray[rows] | (node[rows] > node[x]))]
             y = y[_survivors(np.broadcast_to(sig[x], (len(y), size)), sig[y], floors)]
-            y = y[_possible(n[x], n[y], bits[x], bits[y], num, den)]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
 
-    many = within.filter(F.col("held") > SMALL).join(signed, "node")
-    many = many.withColumn("blocks", F.ceil(F.col("held") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    many = many.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "block", "n", "signature", "bits")
-    blocks = many.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
-    return pairs.unionByName(blocks).distinct()
+    many = within.filter(F.col("held") > SMALL).join(signed.select("node", "signature"), "node")
+    many = many.withColumns({"rows": F.ceil(F.col("held") / BLOCK), "columns": F.ceil(F.col("strays") / BLOCK)})
+    place = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = ("node", "root", "stray", "signature")
+    as_rows = many.select("bucket", place("rows").alias("i"), every("columns").alias("j"), *kept, F.lit(False).alias("column"))
+    as_columns = many.filter("stray").select("bucket", every("rows").alias("i"), place("columns").alias("j"), *kept, F.lit(True).alias("column"))
+    blocks = as_rows.unionByName(as_columns).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    return _prune(park(pairs.unionByName(blocks).distinct(), "candidates"), signed, floors, num, den)
+
+
+def _named(sketched: DataFrame) -> DataFrame:
+    """``sketched`` with a node for each digest: where digests with different upper halves share a lower half, all but the
+    least are renamed by a hash of both."""
+    clashes = sketched.filter("node IS NOT NULL").groupBy("node").agg(F.min("twin").alias("least"), F.max("twin").alias("most")).filter("least <> most")
+    clashes = park(clashes.select("node", "least"), "clashes")
+    if clashes.isEmpty():
+        return sketched
+    renamed = F.when(F.col("twin") != F.col("least"), F.xxhash64("node", "twin")).otherwise(F.col("node"))
+    return park(sketched.join(clashes, "node", "left").withColumn("node", renamed).drop("least"), "sketch")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: tuple[int, int] = (80, 100), bands: int = 40, rows: int = 5, miss: float = 1e-7) -> DataFrame:
@@ -222,8 +243,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = threshold
     floors = _floors(bands * rows, num / den, miss)
-    rows_ = park(sketches(docs, id_col, text_col, shingle, bands, rows), "sketch")
-    nodes = park(rows_.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep")), "nodes")
+    rows_ = _named(park(sketches(docs, id_col, text_col, shingle, bands, rows), "sketch"))
+    nodes = park(rows_.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("twin").alias("twin")), "nodes")
     banded = rows_.filter("node IS NOT NULL").select("node", F.explode("buckets").alias("bucket"))
     hubs = banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top")
     hubs = park(hubs.select("bucket", "hub"), "hubs")
