@@ -7,7 +7,7 @@ taken for a live credential.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrollweave.llm._scratch import park
@@ -35,30 +35,24 @@ BASE = ("assign", "access", "hex")
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|change_me|your|xxxx|test|1234567|abcdef|redacted)"
 
 
-def _found(text: Column, kind: str) -> Column:
-    """``array<struct<start, ord, end, base, h, random>>`` of one kind: leftmost matches that do not overlap.
+#: A match: its kind, its number in the text, the text since the one before and its own, in code points and in bytes,
+#: whether it is long enough, the hash of its value and whether that looks random.
+_MATCHES = "array<struct<ord:int,k:int,gap:int,hit:int,bgap:int,bhit:int,ok:boolean,h:bigint,random:boolean>>"
 
-    ``split`` gives the text between the matches and ``regexp_extract_all`` the matches, so their running lengths are
-    the places; both are code points.
-    """
+
+def _matches(text: Column, kind: str) -> Column:
+    """``_MATCHES`` of one kind: leftmost matches that do not overlap. ``split`` gives the text between the matches and
+    ``regexp_extract_all`` the matches, so the sums of their lengths are the places."""
     pattern, least, group = KINDS[kind]
-    order = list(KINDS).index(kind)
     hits, values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     if kind == "pem":  # one key, however its lines are broken
         values = F.transform(values, lambda v: F.regexp_replace(v, r"\\[nr]|[^A-Za-z0-9+/=]", ""))
     both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("gap"), hits.alias("hit"), values.alias("value"))
-    place = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,ord:int,end:int,value:string>>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        one = F.struct(start.alias("start"), F.lit(order).alias("ord"), end.alias("end"), x["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.char_length(x["value"]) >= least, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    spans = F.aggregate(both, place, step)["out"]
-    finish = lambda x: F.struct(x["start"], x["ord"], x["end"], F.lit(kind in BASE).alias("base"), F.xxhash64(x["value"]).alias("h"), _random(x["value"]).alias("random"))
-    none = F.array().cast("array<struct<start:int,ord:int,end:int,base:boolean,h:bigint,random:boolean>>")
-    return F.when(text.rlike(pattern), F.transform(spans, finish)).otherwise(none)
+    one = lambda x, k: F.struct(
+        F.lit(list(KINDS).index(kind)).alias("ord"), k.alias("k"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["hit"]).alias("hit"), F.octet_length(x["gap"]).alias("bgap"),
+        F.octet_length(x["hit"]).alias("bhit"), (F.char_length(x["value"]) >= least).alias("ok"), F.xxhash64(x["value"]).alias("h"), _random(x["value"]).alias("random"),
+    )
+    return F.when(text.rlike(pattern), F.transform(both, one)).otherwise(F.array().cast(_MATCHES))
 
 
 def _random(value: Column) -> Column:
@@ -67,8 +61,19 @@ def _random(value: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, sorted by start, then kind."""
-    return F.sort_array(F.concat(*(_found(text, kind) for kind in KINDS)))
+    """``_MATCHES`` of all kinds."""
+    return F.concat(*(_matches(text, kind) for kind in KINDS))
+
+
+def places(rows: DataFrame) -> DataFrame:
+    """``(row, repo, owner, start, ord, end, b_start, b_end, base, h, random)``: each candidate span of ``rows (row, repo,
+    owner, matches)``, in code points and in bytes. Places are running sums over the matches of one kind in one text, so
+    a text takes time in proportion to its matches."""
+    w = Window.partitionBy("row", "ord").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    each = rows.select("row", "repo", "owner", F.inline("matches"))
+    each = each.withColumns({"end": F.sum(F.col("gap") + F.col("hit")).over(w), "b_end": F.sum(F.col("bgap") + F.col("bhit")).over(w)}).filter("ok")
+    base = F.col("ord") < len(BASE)
+    return each.select("row", "repo", "owner", (F.col("end") - F.col("hit")).alias("start"), "ord", "end", (F.col("b_end") - F.col("bhit")).alias("b_start"), "b_end", base.alias("base"), "h", "random")
 
 
 def _name(order: Column) -> Column:
@@ -86,22 +91,18 @@ def ownership(spread: DataFrame, widely: int = 3) -> DataFrame:
     return counts.withColumn("copied", F.col("n_owners") >= widely)
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_cols: tuple[str, ...], owner_col: str) -> DataFrame:
-    """One scan: ``(row, doc_id, text_hash, repo, owner, spans)`` without the texts, parked."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    cols = [F.col(id_col).cast("long").alias("doc_id"), text.alias("__text")]
-    cols += [F.when(F.concat(*(F.col(c).cast("string") for c in repo_cols)).isNotNull(), F.xxhash64(*repo_cols)).alias("repo")]
-    cols += [F.when(F.col(owner_col).isNotNull(), F.xxhash64(owner_col)).alias("owner")]
-    rows = docs.select(*cols).withColumn("spans", candidates(F.col("__text")))
-    return park(rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("__text").alias("text_hash"), "repo", "owner", "spans"), "spans")
+def _row(docs: DataFrame, text_col: str, repo_cols: tuple[str, ...], owner_col: str) -> list[Column]:
+    """``row, text, repo, owner`` of ``docs``."""
+    repo = F.when(F.concat(*(F.col(c).cast("string") for c in repo_cols)).isNotNull(), F.xxhash64(*repo_cols))
+    owner = F.when(F.col(owner_col).isNotNull(), F.xxhash64(owner_col))
+    return [F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), repo.alias("repo"), owner.alias("owner")]
 
 
 def _judged(rows: DataFrame, widely: int) -> DataFrame:
-    """``(row, found)``: the spans of each row that has any, each with ``copied``."""
-    each = rows.select("row", "repo", "owner", F.explode("spans").alias("x")).withColumn("h", F.col("x.h"))
-    counts = park(ownership(each.select("h", "repo", "owner"), widely), "ownership")
-    joined = each.join(counts, "h").select("row", F.struct("x.start", "x.ord", "x.end", "x.base", "x.random", "copied").alias("x"))
-    return joined.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("found"))
+    """The ``places`` of rows, each with ``copied``."""
+    spans = park(places(rows.filter(F.size("matches") > 0)), "places")
+    counts = park(ownership(spans.select("h", "repo", "owner"), widely), "ownership")
+    return spans.join(counts.select("h", "copied"), "h")
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", widely: int = 3) -> DataFrame:
@@ -115,48 +116,48 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null and empty texts have no span, and the hash of the empty string. Null ids and repeated rows are rows like
     others; null repositories or owners don't count; columns of other names don't matter.
     """
-    rows = _scanned(docs, id_col, text_col, repo_cols, owner_col)
-    judged = rows.join(_judged(rows.filter(F.size("spans") > 0), widely), "row", "left")
-    base = F.filter("spans", lambda x: x["base"])
-    count = lambda kind: F.size(F.filter("spans", lambda x: x["ord"] == list(KINDS).index(kind))).cast("long")
-    found = F.coalesce("found", F.array().cast("array<struct<start:int,ord:int,end:int,base:boolean,random:boolean,copied:boolean>>"))
-    live = F.filter(found, _live)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *_row(docs, text_col, repo_cols, owner_col))
+    rows = park(rows.select("doc_id", "row", "repo", "owner", candidates(F.col("text")).alias("matches")), "matches")
+    spans = _judged(rows, widely).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "ord", "end", "base", "random", "copied"))).alias("found"))
+    judged = rows.select("doc_id", "row").join(spans, "row", "left")
+    found = F.coalesce("found", F.array().cast("array<struct<start:bigint,ord:int,end:bigint,base:boolean,random:boolean,copied:boolean>>"))
+    judged = judged.select("doc_id", found.alias("found"))
+    base, live = F.filter("found", lambda x: x["base"]), F.filter("found", lambda x: _live(x["copied"], x["random"], x["ord"]))
+    count = lambda kind: F.size(F.filter("found", lambda x: x["ord"] == list(KINDS).index(kind))).cast("long")
     return judged.select(
         "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
-        F.sha2(_spelled(base).cast("binary"), 256).alias("base_sha256"), _spelled(F.filter(found, lambda x: x["base"] | ~x["copied"])).alias("spans"),
-        F.size(live).cast("long").alias("n_live"), F.size(F.filter(found, lambda x: x["copied"])).cast("long").alias("n_copied"), _spelled(live).alias("live_spans"),
+        F.sha2(_spelled(base).cast("binary"), 256).alias("base_sha256"), _spelled(F.filter("found", lambda x: x["base"] | ~x["copied"])).alias("spans"),
+        F.size(live).cast("long").alias("n_live"), F.size(F.filter("found", lambda x: x["copied"])).cast("long").alias("n_copied"), _spelled(live).alias("live_spans"),
     )
 
 
-def _live(x: Column) -> Column:
-    return ~x["copied"] & (x["random"] | (x["ord"] == list(KINDS).index("pem")))
+def _live(copied: Column, random: Column, order: Column) -> Column:
+    return ~copied & (random | (order == list(KINDS).index("pem")))
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]", id_col: str = "doc_id", text_col: str = "text", repo_cols: tuple[str, ...] = ("source", "lang"), owner_col: str = "source", widely: int = 3) -> DataFrame:
-    """``docs`` with every live span of its texts replaced by ``mask``; no row goes and other columns stay.
+    """``docs`` with every live span of its texts replaced by ``mask``; no row goes and other columns stay, whatever their
+    names.
 
-    Only rows with a candidate pass through a join, the others go by. Overlapping spans get one mask. Null texts stay
-    null; repeated rows are treated alike.
+    Texts are scanned once; only rows with a live span pass through a join. Spans that overlap get one mask. Null texts
+    stay null, empty ones empty; null ids and repeated rows are rows like others, null repositories or owners don't count.
     """
-    rows = _scanned(docs, id_col, text_col, repo_cols, owner_col)
-    some = rows.filter(F.size("spans") > 0)
-    live = some.join(_judged(some, widely), "row").select("doc_id", "text_hash", F.filter("found", _live).alias("__live"))
-    live = live.filter(F.size("__live") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__live")
-    live = park(live, "live")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    maybe = F.lit(False)
-    for pattern, _, _ in KINDS.values():
-        maybe = maybe | text.rlike(pattern)
-    held = docs.filter(maybe)
-    held = held.join(live, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))
-        fresh = x["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, piece).otherwise(acc["out"]).alias("out"))
-
-    finish = lambda acc: F.concat(acc["out"], F.substring(F.col(text_col), acc["at"] + 1, F.char_length(F.col(text_col))))
-    masked = F.when(F.col("__live").isNull(), F.col(text_col)).otherwise(F.aggregate("__live", start, step, finish))
-    held = held.withColumn(text_col, masked).select(*(F.col(f"`{c}`") for c in docs.columns))
-    return docs.filter(~maybe).unionByName(held)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.select(whole, *_row(docs, text_col, repo_cols, owner_col))
+    rows = park(rows.select("doc", "row", "repo", "owner", candidates(F.col("text")).alias("matches")), "matches")
+    live = _judged(rows.select("row", "repo", "owner", "matches"), widely).filter(_live(F.col("copied"), F.col("random"), F.col("ord")))
+    # What stays of a text is what lies between the spans so far and each next one.
+    before = Window.partitionBy("row").orderBy("b_start", "b_end").rowsBetween(Window.unboundedPreceding, -1)
+    live = live.withColumn("reach", F.coalesce(F.max("b_end").over(before), F.lit(0).cast("long")))
+    piece = F.when(F.col("b_start") >= F.col("reach"), F.struct("b_start", "reach"))
+    live = park(live.groupBy("row").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("b_end").alias("last")), "live")
+    held = rows.filter(F.size("matches") > 0).select("doc", "row").join(live, "row", "left")
+
+    def masked(data: Column) -> Column:
+        kept = F.transform("pieces", lambda p: F.substring(data, (p["reach"] + 1).cast("int"), (p["b_start"] - p["reach"]).cast("int")).cast("string"))
+        return F.concat(F.array_join(kept, mask), F.lit(mask), F.substring(data, (F.col("last") + 1).cast("int"), F.octet_length(data)).cast("string"))
+
+    text = F.col("doc")[text_col]
+    new = F.when(F.col("pieces").isNull(), text).otherwise(F.get(F.transform(F.array(text.cast("binary")), masked), F.lit(0)))
+    shown = lambda table, value: table.select(*((value if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))
+    return shown(rows.filter(F.size("matches") == 0), text).unionByName(shown(held, new))
