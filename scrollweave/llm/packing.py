@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrollweave.llm._scratch import park
 from scrollweave.llm._slots import number
+from scrollweave.llm.tokens import token_counts
 
 #: Lengths up to EXACT have a histogram bin each; above, bins are 1/256 of their power of two wide.
 EXACT = 16_384
@@ -58,23 +59,27 @@ def best_buckets(tops: np.ndarray, counts: np.ndarray, k: int) -> list[int]:
 
 
 def word_count(text: Column) -> Column:
-    """Words (runs without ASCII white space) and one end token."""
+    """Words (runs without ASCII white space) and one end token: a length where no tokenizer is at hand."""
     return F.size(F.array_remove(F.split(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), "")) + 1
 
 
-def pack(docs: DataFrame, n_buckets: int = 16, budget: int = 65_536, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, n_buckets: int = 16, budget: int = 65_536, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", tokenizer: str | None = None) -> DataFrame:
     """``doc_id, n_tokens, bucket, bound, batch, slot, padding`` for every row; only ids and lengths are shuffled.
 
-    A row goes to the first bucket whose ``bound`` (the padded length) reaches its length. A batch of a bucket holds
-    ``budget // bound`` rows, so its padded tokens keep the budget; a row over the budget is a batch of its own.
+    The length of a row is ``length``, else its text's tokens by the ``tokenizer`` file and one end token, else its words
+    and one. A row goes to the first bucket whose ``bound`` (the padded length) reaches its length. A batch of a bucket
+    holds ``budget // bound`` rows, so its padded tokens keep the budget; a row over the budget is a batch of its own.
     ``slot`` is the row's place in its batch, batches count from 0 in each bucket, only a bucket's last is not full.
     The one thing gathered on the driver is the histogram, of under 30,000 bins.
 
     A null or empty text has the length of its end token (1); a null ``length`` counts as 0. Null ids and repeated rows
     are packed like others; an empty table gives an empty result; other columns don't matter.
     """
-    size = word_count(F.col(text_col)) if length is None else length
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("n_tokens"))
+    if length is None and tokenizer is not None:
+        rows = token_counts(docs, tokenizer, id_col, text_col)
+    else:
+        size = word_count(F.col(text_col)) if length is None else length
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(size.cast("long"), F.lit(0)).alias("n_tokens"))
     tall = park(rows.groupBy("doc_id", "n_tokens").agg(F.count("*").alias("copies")), "lengths")
     bins = sorted((r.top, r.n) for r in tall.groupBy(bin_top(F.col("n_tokens")).alias("top")).agg(F.sum("copies").alias("n")).collect())
     bounds = best_buckets(np.array([b[0] for b in bins]), np.array([b[1] for b in bins]), n_buckets)
@@ -88,3 +93,22 @@ def pack(docs: DataFrame, n_buckets: int = 16, budget: int = 65_536, id_col: str
         "doc_id", "n_tokens", "bucket", "bound", F.floor(F.col("slot") / F.col("__rows")).alias("batch"),
         F.pmod("slot", "__rows").alias("slot"), (F.col("bound") - F.col("n_tokens")).alias("padding"),
     )
+
+
+def pack_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with the columns ``n_tokens, bucket, bound, batch, slot, padding`` of ``pack`` beside its own; one of its own
+    that has such a name gets ``doc_`` before it (as often as needed).
+
+    Rows are told apart by a key of their own, so null ids and repeated rows are rows like others.
+    """
+    added = ("n_tokens", "bucket", "bound", "batch", "slot", "padding")
+    names: dict[str, str] = {}
+    for c in docs.columns:
+        name = c
+        while name.lower() in added or name.lower() in (n.lower() for n in names.values()) or (name != c and name in docs.columns):
+            name = f"doc_{name}"
+        names[c] = name
+    whole = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("doc")
+    rows = park(docs.select(whole, F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text")), "rows")
+    packed = pack(rows.select("row", "text"), id_col="row", text_col="text", **options)
+    return rows.select("row", "doc").join(packed.withColumnRenamed("doc_id", "row"), "row").select("doc.*", *added)
