@@ -37,7 +37,7 @@ def op2_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     chats = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    path = tokenizer_path("byte_bpe_50k.json")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
     stream, index = prefix_tree(chats.unionByName(extra), path)
     return read_back(stream, index, path)
 
@@ -64,7 +64,7 @@ def op7_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_length_bucket_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(_table(spark, sf_dir, "documents"))
+    return pack(_table(spark, sf_dir, "documents"), tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
