@@ -9,6 +9,7 @@ shingle multisets, at all offsets around the window.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -211,6 +212,17 @@ class Index:
                 yield text, number, at, n, sim
 
 
+#: The index that this Python worker made last, by its key: a worker serves many tasks of one block of items.
+_made: dict[str, Index] = {}
+
+
+def _index(key: str, *args) -> Index:
+    if key not in _made:
+        _made.clear()
+        _made[key] = Index(*args)
+    return _made[key]
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 19, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, first_word, n_words, similarity``: each benchmark item's best place in each document row that
     holds it at ``threshold`` or more.
@@ -221,6 +233,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
 
     Items go to the tasks in blocks of ITEM_BYTES of text, however many there are; every block sees every document.
     Shingles are counted over all items, and those that several items have go to every task (16 bytes each).
+    The similarity is that of an item and a window of its size, so a word put into a short item also pushes one out.
+
     Null and empty texts and items hold nothing, items with a null id are left out, documents with a null id give rows
     with it. Repeated items are one; repeated documents each give their rows. Other columns don't matter.
     """
@@ -239,8 +253,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     for block in range(n_blocks):
         own = [(r.item_id, r.item) for r in items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block).collect()]
 
-        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own) -> Iterator[pa.RecordBatch]:
-            index = Index(own, shingle, radius, classes, shared, often)
+        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own, key: str = uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _index(key, own, shingle, radius, classes, shared, often)
             for whole in batches:
                 for batch in tv.slices(whole, ("text",), 1 << 19):
                     ids = batch.column("doc_id").to_pylist()

@@ -57,7 +57,8 @@ def fitting_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
 
 
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(src, dst, n)``: links between different hosts, by the absolute ``href`` values of the pages."""
+    """``(src, dst, n)``: links between different hosts, by the absolute ``href`` values of the pages. Null urls, null html
+    and html without such a value give none; repeated rows count as often as they are there."""
     pattern = r"""(?i)href\s*=\s*["']?\s*((?:https?:)?//[^/?#"'\s>]+)"""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     found = F.when(html.rlike(pattern), F.regexp_extract_all(html, F.lit(pattern), F.lit(1))).otherwise(F.array().cast("array<string>"))
@@ -71,7 +72,8 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
 
     Walk ``trust`` follows the links, walk ``distrust`` follows them backwards: who links to a bad host is suspect.
     Both are personalised PageRank, ``score = seed + damping * incoming``, each host sharing its score over its links by
-    their number; without the usual factor ``1 - damping`` an isolated host keeps its seed mass. A round is one join
+    their number; without the usual factor ``1 - damping`` an isolated host keeps its seed mass. What a host without links
+    on receives goes no further: it is not dealt out again, neither to the seeds nor to all. A round is one join
     and one aggregation of both walks, written to the shared folder; it ends when scores move by less than
     ``tolerance`` a seed in total. A round moves at most ``damping`` of what the one before it moved, so the rounds
     that this takes follow from both (86 here at most). Only that total reaches the driver.
@@ -80,7 +82,7 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
     steps = steps.unionByName(links.select(F.lit("distrust").alias("walk"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
     out = steps.groupBy("walk", "host").agg(F.sum("n").alias("all"))
     steps = park(steps.join(out, ["walk", "host"]).select("walk", "host", "to", (F.col("n") / F.col("all")).alias("share")), "steps")
-    seeds = seeds.groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
+    seeds = seeds.filter("host IS NOT NULL").groupBy("walk", "host").agg(F.sum("mass").alias("mass"))
     score = seeds.withColumnRenamed("mass", "score")
     if steps.isEmpty():
         return score
@@ -96,6 +98,8 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = 0.85, toleran
         discard(score)
         score = after
         if (moved or 0.0) <= tolerance * max(mass, 1.0):
+            discard(steps)
+            discard(seeds)
             return score
 
 
