@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from scrollweave.llm._scratch import park
 from scrollweave.llm.decontaminate import keep_clean
 from scrollweave.llm.minhash import keep_one
-from scrollweave.llm.packing import pack
+from scrollweave.llm.packing import pack_rows
 from scrollweave.llm.quality import keep_good
+from scrollweave.llm.queries import tokenizer_path
 from scrollweave.llm.secrets import redact
 
 
@@ -35,8 +36,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets its length bucket and its place in a batch."""
-    return pack(docs)
+    """Every document, with its text, gets its length bucket by its tokens and its place in a batch."""
+    return pack_rows(docs, tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
