@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from scrollweave.llm import _textvec as tv
 from scrollweave.llm._scratch import fresh
 
-#: Encoded pieces in one of the two generations that a worker keeps, some 30 MB. Pieces that one library call encodes, as
-#: strings of JOINED pieces each: a result of the library holds far more than the ids and costs more than most pieces.
-KNOWN, AT_ONCE, JOINED = 150_000, 4_096, 64
+#: Encoded pieces above which a worker forgets those that the last batches did not have, some 40 MB; bytes of a batch. Pieces that one
+#: library call encodes, as strings of JOINED pieces each: a result of the library holds far more than the ids and costs
+#: more than most pieces.
+KNOWN, BATCH, AT_ONCE, JOINED = 600_000, 1 << 23, 4_096, 64
 SCHEMA = "file int, doc_id long, local_start long, n_tokens long, ids array<int>"
 MANIFEST = "file int, path string, first long, last long, nulls boolean, total long"
 #: Files whose manifest rows are broadcast: 16 bytes each, 16 MB at most. Beyond, the manifest is joined by a shuffle.
@@ -64,16 +65,58 @@ def _folded(column: pa.LargeStringArray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(tv.FOLD[data]))
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``first[k], ..., first[k] + size[k] - 1`` of all ``k`` in order."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
+class _Pieces:
+    """Ids of pieces of text, as arrays."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_string())
+        self.first, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
+        self.flat, self.tick = np.zeros(0, np.int32), 0
+
+    def find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece; -1 if it isn't known."""
+        return pc.fill_null(pc.index_in(pieces, value_set=self.keys), -1).to_numpy().astype(np.int64)
+
+    def ids(self, at: np.ndarray) -> np.ndarray:
+        return self.flat[_ranges(self.first[at], self.size[at])]
+
+    def add(self, pieces: pa.Array, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The places of new pieces."""
+        self.keys = pa.concat_arrays([self.keys, pieces.cast(pa.large_string())])
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(size) - size])
+        self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
+        self.used = np.concatenate([self.used, np.full(len(size), self.tick)])
+        return np.arange(len(self.size) - len(size), len(self.size))
+
+    def age(self) -> None:
+        """Another batch begins. If too many pieces are known, those that the last two did not have go."""
+        if len(self.size) > KNOWN:
+            kept = np.flatnonzero(self.used >= self.tick - 1)
+            keys, size, flat, used = self.keys.take(pa.array(kept)), self.size[kept], self.ids(kept), self.used[kept]
+            tick = self.tick
+            self.__init__()
+            self.tick = tick
+            self.add(keys, size, flat)
+            self.used = used
+        self.tick += 1
+
+
 @cache
 def encoder(path: str) -> Callable[..., tuple[np.ndarray, np.ndarray | None]]:
     """A function from texts to ``(lengths, ids)``, the same as encoding each whole text without special tokens added;
     with ``ids=False`` to lengths alone.
 
     Made once in each Python worker, which serves many tasks. A tokenizer that does not cut at white space (probed) gets
-    whole texts. For others, texts are cut at ASCII white space and each distinct piece of a batch is encoded once; pieces
-    stay known for one to two generations of KNOWN. Where the tokenizer lower-cases, A-Z are folded first, but not in a
-    batch that spells one of its added tokens in any case; nor are marks at the end of pieces cut off there, which else are
-    pieces of their own if the tokenizer cuts before them (probed). Pieces go to the library joined by a separator that is one id;
+    whole texts. For others, texts are cut at ASCII white space, each distinct piece of a batch is encoded once, and
+    pieces stay known while batches have them. Where the tokenizer lower-cases, A-Z are folded first; where it cuts before
+    the marks that end a piece (probed), new pieces are encoded without these, and the marks by themselves. Neither is
+    done in a batch that spells an added token in any case. Pieces go to the library joined by a separator that is one id;
     a group in which this id is found more often than it was put there is encoded piece by piece.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
@@ -84,29 +127,52 @@ def encoder(path: str) -> Callable[..., tuple[np.ndarray, np.ndarray | None]]:
     separable, between = _separable(tokenizer), _separator(tokenizer)
     cuts = _cuts_marks(tokenizer)
     folds = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str(_ALPHABET) == _ALPHABET.lower()
-    generations: list[dict[str, bytes]] = [{}, {}]
+    known = _Pieces()
 
     def encode(texts: Sequence[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(pieces: list[str]) -> None:
-        known = generations[0]
+    def joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``(lengths, ids)`` of pieces."""
+        sizes, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
         for some in batched(pieces, AT_ONCE):
             groups = list(batched(some, JOINED if between else 1))
             glue = f" {between[0]} " if between else ""
             for group, ids in zip(groups, encode([glue.join(g) + glue for g in groups]), strict=True):
                 ends = np.flatnonzero(ids == between[1]) if between else np.array([len(ids)])
-                if len(ends) != len(group):
-                    known.update(zip(group, (x.tobytes() for x in encode(group)), strict=True))
-                    continue
-                data, at = ids.tobytes(), 0
-                for piece, end in zip(group, (4 * ends).tolist(), strict=True):
-                    known[piece] = data[at:end]
-                    at = end + 4
+                if len(ends) == len(group):
+                    sizes.append(np.diff(ends, prepend=-1) - 1 if between else ends)
+                    flat.append(ids[ids != between[1]] if between else ids)
+                else:
+                    own = encode(group)
+                    sizes.append(np.array([len(x) for x in own]))
+                    flat += own
+        return np.concatenate(sizes), np.concatenate(flat)
+
+    def learn(pieces: pa.Array, cut: bool) -> np.ndarray:
+        """The places of pieces that aren't known yet."""
+        if not cut:
+            return known.add(pieces, *joined(pieces.to_pylist()))
+        pieces = pieces.cast(pa.large_string())
+        heads = pc.replace_substring_regex(pieces, _BEFORE_MARKS, r"\1")
+        data, bounds = tv.text_bytes(pieces)
+        head = pc.binary_length(heads).to_numpy().astype(np.int64)
+        rest = np.diff(bounds) - head
+        ends = np.concatenate([[0], np.cumsum(rest)])
+        tails = pa.LargeStringArray.from_buffers(len(rest), pa.py_buffer(ends), pa.py_buffer(data[_ranges(bounds[:-1] + head, rest)]))
+        parts = pa.concat_arrays([heads, tails]).dictionary_encode()
+        at = known.find(parts.dictionary)
+        new = parts.dictionary.filter(pa.array(at < 0))
+        at[at < 0] = known.add(new, *joined(new.to_pylist()))
+        both = at[parts.indices.to_numpy().reshape(2, -1).T]
+        marked = np.flatnonzero(rest > 0)
+        out = both[:, 0]
+        out[marked] = known.add(pieces.take(pa.array(marked)), known.size[both[marked]].sum(1), known.ids(both[marked].ravel()))
+        return out
 
     def whole(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = [x for some in batched(column.to_pylist(), 64) for x in encode(some)]
-        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.int64), *found])
+        return np.array([len(x) for x in found], np.int64), np.concatenate([np.zeros(0, np.int32), *found])
 
     def run(column: pa.Array, ids: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
         column = pc.fill_null(column, "").cast(pa.large_string())
@@ -120,27 +186,15 @@ def encoder(path: str) -> Callable[..., tuple[np.ndarray, np.ndarray | None]]:
         coded = pc.list_flatten(pieces).dictionary_encode()
         if isinstance(coded, pa.ChunkedArray):
             coded = coded.combine_chunks()
-        vocabulary = coded.dictionary.to_pylist()
-        heads = pc.replace_substring_regex(coded.dictionary, _BEFORE_MARKS, r"\1").to_pylist() if cuts and plain else vocabulary
-        tails = [v[len(h) :] for v, h in zip(vocabulary, heads, strict=True)]
-        if len(generations[0]) > KNOWN:
-            generations[:] = [{}, generations[0]]
-        known, old = generations
-        new = [p for p in {*heads, *tails} if p not in known]
-        known.update((p, old[p]) for p in new if p in old)
-        learn([p for p in new if p not in old])
-        encoded = [known[h] + known[t] if t else known[h] for h, t in zip(heads, tails, strict=True)]
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded)) // 4
-        which = coded.indices.to_numpy()
-        lengths = size[which] if len(which) else np.zeros(0, np.int64)
-        ends = np.concatenate([[0], np.cumsum(lengths)])
+        known.age()
+        at = known.find(coded.dictionary)
+        if (at < 0).any():
+            at[at < 0] = learn(coded.dictionary.filter(pa.array(at < 0)), cuts and plain)
+        known.used[at] = known.tick
+        at = at[coded.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(known.size[at])])
         bounds = np.concatenate([[0], np.cumsum(counts)])
-        per_text = ends[bounds[1:]] - ends[bounds[:-1]]
-        if not ids:
-            return per_text, None
-        first = np.concatenate([[0], np.cumsum(size)])[:-1]
-        source = np.arange(ends[-1]) + np.repeat((first[which] if len(which) else lengths) - ends[:-1], lengths)
-        return per_text, np.frombuffer(b"".join(encoded), np.int32)[source]
+        return ends[bounds[1:]] - ends[bounds[:-1]], known.ids(at) if ids else None
 
     return run
 
@@ -152,7 +206,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for whole in batches:
-            for batch in tv.slices(whole, ("text",), 1 << 22):
+            for batch in tv.slices(whole, ("text",), BATCH):
                 lengths, _ = encode(batch.column("text"), ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths + 1)], ["doc_id", "n_tokens"])
 
@@ -181,7 +235,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(tokenizer), 0
         for whole in batches:
-            for batch in tv.slices(whole, ("text",), 1 << 22):
+            for batch in tv.slices(whole, ("text",), BATCH):
                 lengths, ids = encode(batch.column("text"))
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 lengths = lengths + 1
