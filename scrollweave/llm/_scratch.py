@@ -6,8 +6,15 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+#: Temporary folders of applications on one machine without a setting.
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where neither is set, a session on this one machine (tests) gets a temporary folder, which goes when Python ends; on
     a cluster that is an error, as executors would write to disks that others don't see.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or _local.get(context.applicationId)
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="scrollweave-")
+        base = _local[context.applicationId] = tempfile.mkdtemp(prefix="scrollweave-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/llm-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/llm-{context.applicationId}"
 
 
 def fresh(spark: SparkSession, label: str) -> str:
@@ -31,12 +38,52 @@ def fresh(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+#: The tables parked in each open scope, with their paths.
+_open: list[list[tuple[DataFrame, str]]] = []
+
+
 def park(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = fresh(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1].append((table, path))
+    return table
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables parked inside are deleted at the end, but for those given to the function that this yields: what is read
+    later must be one of them, or parked outside."""
+    _open.append([])
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    try:
+        yield keep
+    finally:
+        for table, path in _open.pop():
+            if not any(table is k for k in kept):
+                _delete(table.sparkSession, path)
+            elif _open:
+                _open[-1].append((table, path))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(row, doc)``, parked: a key for each row and the row itself as one struct, so that no name of its columns can clash
+    with one of an operator's. The key holds where ids are null or repeated."""
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return park(docs.select(F.monotonically_increasing_id().alias("row"), whole), "rows")
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The ``columns`` of ``doc``."""
+    return rows.select(*(F.col("doc").getField(c).alias(c) for c in columns))
 
 
 def _delete(spark: SparkSession, name: str) -> None:

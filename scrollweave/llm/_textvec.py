@@ -26,6 +26,9 @@ PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
+#: Bytes that one step of hashing takes.
+PIECE = 1 << 20
+
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -68,11 +71,10 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _spans(column: pa.Array, separators: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``(bounds, start, end, total, down)``: the words of text ``i`` are ``bounds[i]:bounds[i + 1]``, each with its first byte
-    and the one behind it; the prefix sums of folded bytes and the inverse powers that hash them."""
+def _spans(column: pa.Array, separators: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(data, bounds, start, end)``: the words of text ``i`` are ``bounds[i]:bounds[i + 1]``, each with its first byte and the
+    one behind it."""
     data, offsets = text_bytes(column)
-    n = len(data)
     inside = ~separators[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -81,35 +83,49 @@ def _spans(column: pa.Array, separators: np.ndarray, fold: np.ndarray) -> tuple[
     tails = offsets[1:][np.diff(offsets) > 0] - 1
     first[heads] = inside[heads]
     last[tails] = inside[tails]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power_tables(n)
-    total = np.zeros(n + 1, _U)
-    np.cumsum((fold[data].astype(_U) + _U(1)) * up[:n], out=total[1:])
-    return np.searchsorted(start, offsets), start, end, total, down
-
-
-def _hashed(start: np.ndarray, end: np.ndarray, total: np.ndarray, down: np.ndarray) -> np.ndarray:
-    hashes = (total[end] - total[start]) * down[start]
-    return mix(hashes ^ ((end - start).astype(_U) * _U(0xD6E8FEB86659FD93)))
+    start = np.flatnonzero(first)
+    return data, np.searchsorted(start, offsets), start, np.flatnonzero(last) + 1
+
+
+def _hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """The hashes of spans of bytes, which ascend: by prefix sums over PIECE bytes at a time (or one longer word), so that
+    a very long text takes little more than its words."""
+    out, k = np.zeros(len(start), _U), 0
+    while k < len(start):
+        stop = max(k + 1, int(np.searchsorted(end, start[k] + PIECE, "right")))
+        low, high = int(start[k]), int(end[k:stop].max())
+        up, down = _power_tables(high - low)
+        total = np.zeros(high - low + 1, _U)
+        np.cumsum((fold[data[low:high]].astype(_U) + _U(1)) * up[: high - low], out=total[1:])
+        a, b = start[k:stop] - low, end[k:stop] - low
+        out[k:stop] = mix((total[b] - total[a]) * down[a] ^ ((b - a).astype(_U) * _U(0xD6E8FEB86659FD93)))
+        k = stop
+    return out
 
 
 def words(column: pa.Array, separators: np.ndarray = SPACES, fold: np.ndarray = FOLD) -> tuple[np.ndarray, np.ndarray]:
     """``(bounds, hashes)``: the words of text ``i`` are ``hashes[bounds[i]:bounds[i + 1]]``."""
-    bounds, start, end, total, down = _spans(column, separators, fold)
-    return bounds, _hashed(start, end, total, down)
+    data, bounds, start, end = _spans(column, separators)
+    return bounds, _hashed(data, start, end, fold)
 
 
 def beginnings(column: pa.Array, sizes: tuple[int, ...], separators: np.ndarray = SPACES, fold: np.ndarray = FOLD) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """``(bounds, kinds)``: bounds as of ``words``; kinds has the places of all words and their hashes and then, for each of
     ``sizes``, the places of the words with more bytes and the hashes of their first so many bytes."""
-    bounds, start, end, total, down = _spans(column, separators, fold)
-    kinds = [(np.arange(len(start)), _hashed(start, end, total, down))]
+    data, bounds, start, end = _spans(column, separators)
+    kinds = [(np.arange(len(start)), _hashed(data, start, end, fold))]
     for size in sizes:
         at = np.flatnonzero(end - start > size)
-        kinds.append((at, _hashed(start[at], start[at] + size, total, down)))
+        kinds.append((at, _hashed(data, start[at], start[at] + size, fold)))
     return bounds, kinds
 
 
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places ``first[k], ..., first[k] + size[k] - 1`` of all ``k`` in order."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
+
+
 def _multipliers(k: int) -> np.ndarray:
     return mix(np.arange(1, k + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
 

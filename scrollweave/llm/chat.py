@@ -19,6 +19,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,8 +68,8 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 @cache
-def codec(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[list[list[int]]], list[str]]]:
-    """``(encode, decode)`` of lists of texts, read once in each Python worker, which serves many tasks.
+def encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
+    """A function from texts to ids, read once in each Python worker, which serves many tasks.
 
     ``path`` is a file of byte-level ranks (``.tiktoken``), cut by PATTERN, or a tokenizers file. Special tokens are
     ordinary text, and decoding gives back what was encoded.
@@ -76,17 +77,43 @@ def codec(path: str) -> tuple[Callable[[list[str]], list[list[int]]], Callable[[
     if path.endswith(".tiktoken"):
         import tiktoken
 
-        with open(path, "rb") as file:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-        own = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: list(map(own.encode_ordinary, texts)), lambda ids: list(map(own.decode, ids))
+        own = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=_ranks(path), special_tokens={})
+        return lambda texts: list(map(own.encode_ordinary, texts))
+    known = _tokenizer(path)
+    return lambda texts: [x.ids for x in known.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+@cache
+def decoder(path: str) -> Callable[[np.ndarray, np.ndarray], list[str]]:
+    """A function from ids and the bounds of texts in them to texts. With ranks it puts the bytes of tokens together."""
+    if not path.endswith(".tiktoken"):
+        known = _tokenizer(path)
+        return lambda ids, bounds: known.decode_batch([ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], skip_special_tokens=False)
+    tokens = sorted(_ranks(path).items(), key=lambda x: x[1])
+    size, flat = np.zeros(tokens[-1][1] + 1, np.int64), np.frombuffer(b"".join(t for t, _ in tokens), np.uint8)
+    size[[rank for _, rank in tokens]] = [len(t) for t, _ in tokens]
+    first = np.cumsum(size) - size
+
+    def run(ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        at = np.concatenate([[0], np.cumsum(size[ids])])[bounds].tolist()
+        data = flat[tv.ranges(first[ids], size[ids])].tobytes()
+        return [data[a:b].decode(errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    return run
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as file:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+
+
+def _tokenizer(path: str):
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     known = Tokenizer.from_file(path)
     known.encode_special_tokens = True
-    encode = lambda texts: [x.ids for x in known.encode_batch_fast(texts, add_special_tokens=False)]
-    return encode, lambda ids: known.decode_batch(ids, skip_special_tokens=False)
+    return known
 
 
 def _paths(turns: DataFrame) -> DataFrame:
@@ -108,7 +135,7 @@ def _encoded(nodes: DataFrame, tokenizer: str) -> DataFrame:
     """TOKENS rows from ``(node, parent, owner, role, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, _ = codec(tokenizer)
+        encode = encoder(tokenizer)
         heads: dict[str, list[int]] = {}
         tail = encode([_TAIL])[0]
         for whole in batches:
@@ -194,14 +221,18 @@ def _decoded(stream: DataFrame, tokenizer: str) -> DataFrame:
     the text under the loss mask, unescaped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decode = codec(tokenizer)
+        decode = decoder(tokenizer)
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                ids, first, last = (batch.column(c).to_pylist() for c in ("ids", "loss_from", "loss_to"))
-                formatted = decode(ids)
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                lists = batch.column("ids")
+                ids, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+                bounds -= bounds[0]
+                # What lies before the mask, under it and behind it are texts of their own.
+                first, last = (bounds[:-1] + batch.column(c).to_numpy() for c in ("loss_from", "loss_to"))
+                pieces = decode(ids, np.append(np.stack([bounds[:-1], first, last], 1).ravel(), bounds[-1]))
+                formatted, learned = list(map("".join, zip(pieces[::3], pieces[1::3], pieces[2::3], strict=True))), pieces[1::3]
                 turns = [parse(x) for x in formatted]
-                learned = decode([x[a:b] for x, a, b in zip(ids, first, last, strict=True)])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node"), pa.array(map(len, turns), pa.int64()), pa.array("".join(f"{r}\n{t}\n" for r, t in own) for own in turns),
                      pa.array(map(unescape, learned), pa.string()), pa.array(map(len, formatted), pa.int64()), batch.column("n_tokens")],

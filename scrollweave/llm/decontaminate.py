@@ -11,7 +11,8 @@ from __future__ import annotations
 
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrollweave.llm import _textvec as tv
-from scrollweave.llm._scratch import park
+from scrollweave.llm._scratch import discard, park
 
 #: Bytes of benchmark text in one block of items, which goes to all tasks.
 ITEM_BYTES = 4 << 20
@@ -169,6 +170,23 @@ class Index:
         known[at[self.shingles[place] == runs[at]] + 1] = 1
         return np.cumsum(known)
 
+    def found(self, bounds: np.ndarray, hashes: np.ndarray, threshold: float, most: int = 1 << 17) -> Iterator[tuple[int, int, int, int, float]]:
+        """``search``, a text of over ``most`` words in parts that overlap by more than any window and its surroundings, so
+        that memory doesn't follow the longest text."""
+        wide = max((x.width + 2 * (x.stride + x.slack) + x.k for x in self.classes), default=0)
+        most = max(most, 4 * wide)
+        part = [np.unique(np.append(np.arange(0, max(1, n - wide), most - wide), max(0, n - most))) if n > most else np.zeros(1, np.int64) for n in np.diff(bounds)]
+        if all(len(p) == 1 for p in part):
+            yield from self.search(bounds, hashes, threshold)
+            return
+        for text, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            best: dict[int, tuple[float, int, int]] = {}
+            for start in part[text].tolist():
+                own = hashes[low + start : min(high, low + start + most)]
+                for _, item, at, n, sim in self.search(np.array([0, len(own)]), own, threshold):
+                    best[item] = max(best.get(item, (0.0, 0, 0)), (sim, -(at + start), n))
+            yield from ((text, item, -at, n, sim) for item, (sim, at, n) in best.items())
+
     def search(self, bounds: np.ndarray, hashes: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int, int, float]]:
         """``(text, item, first word, words, similarity)``: the best place of each item in each text that reaches the
         threshold. ``bounds`` and ``hashes`` are the words of several texts."""
@@ -238,27 +256,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     Null and empty texts and items hold nothing, items with a null id are left out, documents with a null id give rows
     with it. Repeated items are one; repeated documents each give their rows. Other columns don't matter.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).filter("item_id IS NOT NULL AND item IS NOT NULL").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
-    n_blocks = max(1, -(-int(total) // ITEM_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shapes = park(_shapes(items, shingle), "shapes")
-    classes = size_classes([tuple(r) for r in shapes.select("k", "size").distinct().collect()])
-    counts = shapes.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
-    shared, often = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
-    order = np.argsort(shared)
-    shared, often = shared[order], often[order]
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     out = None
-    for block in range(n_blocks):
-        own = [(r.item_id, r.item) for r in items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block).collect()]
+    for index in _indexes(benchmark, shingle, radius, item_col, item_text_col):
 
-        def run(batches: Iterator[pa.RecordBatch], own: list[tuple[int, str]] = own, key: str = uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = _index(key, own, shingle, radius, classes, shared, often)
+        def run(batches: Iterator[pa.RecordBatch], index: Callable[[], Index] = index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in tv.slices(whole, ("text",), 1 << 19):
                     ids = batch.column("doc_id").to_pylist()
-                    hits = [(ids[t], *rest) for t, *rest in index.search(*_words(batch.column("text")), threshold)]
+                    hits = [(ids[t], *rest) for t, *rest in index().found(*_words(batch.column("text")), threshold)]
                     cols = list(zip(*hits, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == 4 else pa.int64()) for n, c in enumerate(cols)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
@@ -267,9 +274,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, with all columns, that hold no item. Rows are told apart by a key of their own, so null ids,
-    ids on several texts and repeated rows are rows like others."""
-    keyed = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    bad = leaks(keyed, benchmark, **(options | {"id_col": "__row"})).select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+def _indexes(benchmark: DataFrame, shingle: int, radius: int, item_col: str, item_text_col: str) -> list[Callable[[], Index]]:
+    """For each block of items a function that makes its index, or gives the one that the Python worker has."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("item")).filter("item_id IS NOT NULL AND item IS NOT NULL").distinct()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("item")), F.lit(0))).first()[0]
+    n_blocks = max(1, -(-int(total) // ITEM_BYTES))
+    shapes = park(_shapes(items, shingle), "shapes")
+    classes = size_classes([tuple(r) for r in shapes.select("k", "size").distinct().collect()])
+    counts = shapes.select(F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n")).filter("n > 1").toArrow()
+    discard(shapes)
+    shared, often = counts.column("s").to_numpy().view(np.uint64), counts.column("n").to_numpy()
+    order = np.argsort(shared)
+    shared, often = shared[order], often[order]
+    made = []
+    for block in range(n_blocks):
+        own = [(r.item_id, r.item) for r in items.filter(F.pmod(F.xxhash64("item_id", "item"), F.lit(n_blocks)) == block).collect()]
+        made.append(partial(_index, uuid.uuid4().hex, own, shingle, radius, classes, shared, often))
+    return made
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: float = 0.8, radius: int = 19, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns whatever their names, that hold no item: one pass without a shuffle, or one
+    for each block of items.
+
+    Rows are judged by their text alone, so null ids, ids on several texts and repeated rows are rows like others. Null
+    and empty texts hold nothing and stay; an empty table stays empty.
+    """
+    at, names = docs.columns.index(text_col), docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))
+    for index in _indexes(benchmark, shingle, radius, item_col, item_text_col):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Callable[[], Index] = index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                texts = pa.RecordBatch.from_arrays([whole.column(at).cast(pa.string())], ["text"])
+                clean, done = np.ones(whole.num_rows, bool), 0
+                for batch in tv.slices(texts, ("text",), 1 << 19):
+                    for text, *_ in index().found(*_words(batch.column("text")), threshold):
+                        clean[done + text] = False
+                    done += batch.num_rows
+                yield whole.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs.toDF(*names)

@@ -12,8 +12,8 @@ Plan, with every intermediate table in the shared folder:
    similarity, which excludes most pairs that are a little under the threshold and none over it. Survivors are confirmed
    on the full shingle sets.
 4. In buckets whose nodes are still in more than one component, all nodes outside the largest component are compared with
-   all nodes of other components (in blocks if the bucket is large; only signatures move), so that no banded candidate is
-   lost by the hubs, and a few strays in a large bucket cost no more than a pass over it.
+   all nodes of other components (in blocks if the bucket is large, which send on only what survives pruning), so that no
+   banded candidate is lost by the hubs, and a few strays in a large bucket cost no more than a pass over it.
 5. Components by large and small stars.
 
 With ``bands`` x ``rows`` = 40 x 5 a pair at similarity 0.8 exactly has no common bucket with probability 1.3e-7 and is
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from scrollweave.llm import _textvec as tv
 from scrollweave.llm._components import components
-from scrollweave.llm._scratch import discard, park
+from scrollweave.llm._scratch import keyed, park, scope, unpacked
 
 #: Buckets up to this size are paired by a join, larger ones in blocks of BLOCK nodes.
 SMALL, BLOCK = 32, 256
@@ -194,29 +194,31 @@ def _across(members: DataFrame, signed: DataFrame, floors: list[tuple[int, int,
     within = members.join(mixed, "bucket").withColumn("stray", F.col("root") != F.col("major"))
     few = within.filter(F.col("held") <= SMALL)
     side = lambda s: few.select("bucket", F.col("node").alias(s), F.col("root").alias(f"r{s}"), F.col("stray").alias(f"s{s}"))
-    pairs = side("a").join(side("b"), "bucket").filter("a < b AND ra <> rb AND (sa OR sb)").select("a", "b")
+    pairs = side("a").join(side("b"), "bucket").filter("a < b AND ra <> rb AND (sa OR sb)").select("a", "b").distinct()
     size = floors[-1][1]
 
     def run(key, table):
         node, root, column = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "root", "column"))
-        stray, sig = table.column("stray").to_numpy(zero_copy_only=False), _matrix(table.column("signature"), size)
+        stray, n = table.column("stray").to_numpy(zero_copy_only=False), table.column("n").to_numpy()
+        sig, bits = _matrix(table.column("signature"), size), _matrix(table.column("bits"), MAP_BITS // 8).view(np.uint64)
         rows, a, b = np.flatnonzero(~column), [], []
         for x in np.flatnonzero(column):
             y = rows[(root[rows] != root[x]) & (~stray[rows] | (node[rows] > node[x]))]
             y = y[_survivors(np.broadcast_to(sig[x], (len(y), size)), sig[y], floors)]
+            y = y[_possible(n[x], n[y], bits[x], bits[y], num, den)]
             a.append(np.minimum(node[x], node[y]))
             b.append(np.maximum(node[x], node[y]))
         return pa.table({"a": np.concatenate(a or [np.zeros(0, np.int64)]), "b": np.concatenate(b or [np.zeros(0, np.int64)])})
 
-    many = within.filter(F.col("held") > SMALL).join(signed.select("node", "signature"), "node")
+    many = within.filter(F.col("held") > SMALL).join(signed, "node")
     many = many.withColumns({"rows": F.ceil(F.col("held") / BLOCK), "columns": F.ceil(F.col("strays") / BLOCK)})
     place = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    kept = ("node", "root", "stray", "signature")
+    kept = ("node", "root", "stray", "n", "signature", "bits")
     as_rows = many.select("bucket", place("rows").alias("i"), every("columns").alias("j"), *kept, F.lit(False).alias("column"))
     as_columns = many.filter("stray").select("bucket", every("rows").alias("i"), place("columns").alias("j"), *kept, F.lit(True).alias("column"))
     blocks = as_rows.unionByName(as_columns).groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
-    return _prune(park(pairs.unionByName(blocks).distinct(), "candidates"), signed, floors, num, den)
+    return _prune(pairs, signed, floors, num, den).unionByName(blocks).distinct()
 
 
 def _named(sketched: DataFrame) -> DataFrame:
@@ -243,6 +245,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     num, den = threshold
     floors = _floors(bands * rows, num / den, miss)
+    with scope() as keep:
+        rows_, final = _grouped(docs, id_col, text_col, shingle, bands, rows, floors, num, den)
+        keep(rows_)
+        keep(final)
+    out = rows_.select("id", "n_shingles", "node").join(final, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: int, rows: int, floors: list[tuple[int, int, int]], num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row, and ``(node, component_id)``, both parked."""
     rows_ = _named(park(sketches(docs, id_col, text_col, shingle, bands, rows), "sketch"))
     nodes = park(rows_.filter("node IS NOT NULL").groupBy("node").agg(F.min("id").alias("rep"), F.min("twin").alias("twin")), "nodes")
     banded = rows_.filter("node IS NOT NULL").select("node", F.explode("buckets").alias("bucket"))
@@ -264,25 +277,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = park(named.join(least, "root").select("node", "component_id"), "final")
-    for table in (hubs, members, signed):
-        discard(table)
-    out = rows_.select("id", "n_shingles", "node").join(final, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return rows_, final
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without near duplicates: one row of each group, that with the smallest id, or with a null one if no row has
     an id.
 
-    All columns stay as they are. Rows are told apart by a key of their own, so null ids, ids on several texts and
-    repeated rows are rows like others. Rows without a shingle are groups of their own.
+    All columns stay as they are, whatever their names. Rows are told apart by a key of their own, so null ids, ids on
+    several texts and repeated rows are rows like others. Rows without a shingle (null and empty texts) are groups of
+    their own; an empty table stays empty.
     """
-    keyed = park(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(keyed, "__row", text_col, **options).select(F.col("doc_id").alias("__row"), "component_id")
-    ids = keyed.select("__row", F.col(id_col).cast("long").alias("__id"))
-    order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__row").alias("row"))
-    found = park(found.join(ids, "__row").select("__row", "component_id", order.alias("order")), "found")
-    best = found.groupBy("component_id").agg(F.min("order")["row"].alias("best"))
-    dropped = found.join(best, "component_id").filter("__row <> best").select("__row")
-    return keyed.join(dropped, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = keyed(docs)
+    with scope() as keep:
+        texts = rows.select("row", F.col("doc").getField(text_col).alias("text"))
+        found = near_duplicates(texts, "row", "text", **options).select(F.col("doc_id").alias("row"), "component_id")
+        ids = rows.select("row", F.col("doc").getField(id_col).cast("long").alias("id"))
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+        found = park(found.join(ids, "row").select("row", "component_id", order.alias("order")), "found")
+        best = found.groupBy("component_id").agg(F.min("order")["row"].alias("row"))
+        best = keep(park(best.select("row"), "best"))
+    return unpacked(rows.join(best, "row", "left_semi"), docs.columns)

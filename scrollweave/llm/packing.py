@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrollweave.llm._scratch import park
+from scrollweave.llm._scratch import keyed, park
 from scrollweave.llm._slots import number
 from scrollweave.llm.tokens import token_counts
 
@@ -105,10 +105,11 @@ def pack_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
     names: dict[str, str] = {}
     for c in docs.columns:
         name = c
-        while name.lower() in added or name.lower() in (n.lower() for n in names.values()) or (name != c and name in docs.columns):
+        while name.lower() in added or name in names.values() or (name != c and name in docs.columns):
             name = f"doc_{name}"
         names[c] = name
-    whole = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items())).alias("doc")
-    rows = park(docs.select(whole, F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text")), "rows")
-    packed = pack(rows.select("row", "text"), id_col="row", text_col="text", **options)
-    return rows.select("row", "doc").join(packed.withColumnRenamed("doc_id", "row"), "row").select("doc.*", *added)
+    rows = keyed(docs)
+    texts = rows.select("row", F.col("doc").getField(text_col).cast("string").alias("text"))
+    packed = pack(texts, id_col="row", text_col="text", **options).withColumnRenamed("doc_id", "row")
+    whole = (F.col("doc").getField(c).alias(n) for c, n in names.items())
+    return rows.join(packed, "row").select(*whole, *added)

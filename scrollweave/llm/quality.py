@@ -106,7 +106,9 @@ def quality(docs: DataFrame, thresholds: Mapping[str, tuple[str, float | None, f
 
 
 def keep_good(docs: DataFrame, thresholds: Mapping[str, tuple[str, float | None, float | None]] = THRESHOLDS, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, that the rules keep. One scan, no shuffle."""
+    """The rows of ``docs``, with all their columns whatever their names, that the rules keep. One scan, no shuffle.
+
+    Null and empty texts go; null ids and repeated rows are rows like others; an empty table stays empty."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row")
     judged = measures(docs.select(row, F.col(text_col).alias("__text")), "__text", keep=("__row",))
     return judged.filter(~base_failed() & passes(thresholds)).select("__row.*")

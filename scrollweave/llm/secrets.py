@@ -157,7 +157,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", id_col: str = "doc_id", te
         kept = F.transform("pieces", lambda p: F.substring(data, (p["reach"] + 1).cast("int"), (p["b_start"] - p["reach"]).cast("int")).cast("string"))
         return F.concat(F.array_join(kept, mask), F.lit(mask), F.substring(data, (F.col("last") + 1).cast("int"), F.octet_length(data)).cast("string"))
 
-    text = F.col("doc")[text_col]
+    text = F.col("doc").getField(text_col)
     new = F.when(F.col("pieces").isNull(), text).otherwise(F.get(F.transform(F.array(text.cast("binary")), masked), F.lit(0)))
-    shown = lambda table, value: table.select(*((value if c == text_col else F.col("doc")[c]).alias(c) for c in docs.columns))
+    shown = lambda table, value: table.select(*((value if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns))
     return shown(rows.filter(F.size("matches") == 0), text).unionByName(shown(held, new))

@@ -65,12 +65,6 @@ def _folded(column: pa.LargeStringArray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(len(column), pa.py_buffer(offsets), pa.py_buffer(tv.FOLD[data]))
 
 
-def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places ``first[k], ..., first[k] + size[k] - 1`` of all ``k`` in order."""
-    ends = np.cumsum(size)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - size), size)
-
-
 class _Pieces:
     """Ids of pieces of text, as arrays."""
 
@@ -84,7 +78,7 @@ class _Pieces:
         return pc.fill_null(pc.index_in(pieces, value_set=self.keys), -1).to_numpy().astype(np.int64)
 
     def ids(self, at: np.ndarray) -> np.ndarray:
-        return self.flat[_ranges(self.first[at], self.size[at])]
+        return self.flat[tv.ranges(self.first[at], self.size[at])]
 
     def add(self, pieces: pa.Array, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """The places of new pieces."""
@@ -159,7 +153,7 @@ def encoder(path: str) -> Callable[..., tuple[np.ndarray, np.ndarray | None]]:
         head = pc.binary_length(heads).to_numpy().astype(np.int64)
         rest = np.diff(bounds) - head
         ends = np.concatenate([[0], np.cumsum(rest)])
-        tails = pa.LargeStringArray.from_buffers(len(rest), pa.py_buffer(ends), pa.py_buffer(data[_ranges(bounds[:-1] + head, rest)]))
+        tails = pa.LargeStringArray.from_buffers(len(rest), pa.py_buffer(ends), pa.py_buffer(data[tv.ranges(bounds[:-1] + head, rest)]))
         parts = pa.concat_arrays([heads, tails]).dictionary_encode()
         at = known.find(parts.dictionary)
         new = parts.dictionary.filter(pa.array(at < 0))

@@ -166,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     rank = F.row_number().over(Window.partitionBy("__id").orderBy("__hash"))
     ranked = held.select("__id", "__hash", "__toxic", F.struct(rank.alias("rank"), F.xxhash64("__id").alias("deal"), "__id").alias("__order"))
     picked = ranked.groupBy("__hash").agg(F.max("__toxic").alias("__toxic"), F.min("__order").alias("__order")).orderBy("__order").limit(sample_rows)
-    sample = held.select("__hash", "__words").dropDuplicates(["__hash"]).join(F.broadcast(park(picked.select("__hash", "__toxic"), "picked")), "__hash")
+    picked = park(picked.select("__hash", "__toxic"), "picked")
+    sample = held.select("__hash", "__words").dropDuplicates(["__hash"]).join(F.broadcast(picked), "__hash")
     features = choose(sample, *sample.agg(F.count("*"), F.coalesce(F.sum("__toxic"), F.lit(0))).first())
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     placed = sample.select("__hash", "__toxic", "__words").mapInArrow(places, "__hash long, __toxic int, __at array<int>")
     kept = placed.orderBy("__hash").select("__toxic", "__at").toArrow()
     discard(held)
+    discard(picked)
     if not kept.num_rows:
         return fit(features, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))
     bounds, feature = _lists(kept.column("__at").combine_chunks())

@@ -120,9 +120,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, threshold: float = 0.
     share = lambda verdict: F.avg(F.when(F.col("__fit.verdict") == verdict, 1.0).otherwise(0.0))
     hosts = park(rows.filter("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
     seeds = hosts.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("walk", "mass")).filter("mass > 0")
-    score = propagate(seeds.select("walk", "host", "mass"), park(host_links(pages, url_col, html_col), "links"), damping)
+    links = park(host_links(pages, url_col, html_col), "links")
+    score = propagate(seeds.select("walk", "host", "mass"), links, damping)
     of = lambda walk: F.coalesce(F.sum(F.when(F.col("walk") == walk, F.col("score"))), F.lit(0.0))
     score = park(score.groupBy("host").agg(of("trust").alias("trust"), of("distrust").alias("distrust")), "verdicts")
+    discard(links)
+    discard(hosts)
     out = rows.join(score, "host", "left")
     out = out.withColumns({"trust": F.coalesce("trust", F.lit(0.0)), "distrust": F.coalesce("distrust", F.lit(0.0))})
     fallen = F.when(F.col("distrust") - F.col("trust") >= threshold, "block").otherwise("allow")
