@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Unicode white space as a Java class, and the characters that a normalised line loses at its start.
-WS = r"\p{IsWhite_Space}"
-MARKERS = r"[#*\->@+\p{IsWhite_Space}]"
+WS = r"[\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+MARKERS = rf"[#*\->@+{WS}]"
 #: Words that hint at code, each with a space behind.
-CODE_TOKENS = "import from def fn let const pub use struct enum impl trait class return if else for while match async await".split()
+CODE_TOKENS = ("import", "from", "def", "fn", "let", "const", "pub", "use", "struct", "enum", "impl", "trait", "class", "return", "if", "else", "for", "while", "match", "async", "await")
+MARKS = "={}()[];:,."
 
 #: Substrings that speak for a language, in the order that breaks ties.
 LANGUAGE_PATTERNS = {
@@ -85,7 +86,7 @@ def pattern_bonus(x: Column) -> Column:
     for word in CODE_TOKENS:
         token = token | x.contains(word + " ")
     some = lambda cond, value: F.when(cond, F.lit(value)).otherwise(F.lit(0.0))
-    marks = F.regexp_count(x, F.lit(r"[={}()\[\];:,.]"))
+    marks = F.char_length(x) - F.char_length(F.translate(x, MARKS, ""))
     listed = x.startswith("- ") | x.startswith("* ") | x.startswith("> ") | x.startswith("//")
     total = some(x.startswith("#") | x.startswith("```"), 0.4) + some(listed, 0.3) + some(token, 0.3) + F.least(marks * F.lit(0.05), F.lit(0.2))
     return F.when(is_table_row(x), F.lit(0.5)).otherwise(F.least(total, F.lit(0.5)))
@@ -94,27 +95,44 @@ def pattern_bonus(x: Column) -> Column:
 def long_word_penalty(x: Column) -> Column:
     """Share of words over 15 bytes that are no identifiers, times 0.6, at most 0.5."""
     bare = lambda w: F.regexp_replace(w, r"[^\p{IsAlphabetic}\p{N}_.:]", "")
-    long = lambda w: (F.octet_length(bare(w)) > 15) & ~is_identifier(bare(w))
+    long = lambda w: (F.octet_length(w) > 15) & (F.octet_length(bare(w)) > 15) & ~is_identifier(bare(w))
     return let(_words(x), lambda a: F.when(F.size(a) == 0, F.lit(0.0)).otherwise(F.least(F.size(F.filter(a, long)) / F.size(a) * F.lit(0.6), F.lit(0.5))))
 
 
 def char_class_penalty(x: Column) -> Column:
     """For mixed case, or for very long runs of letters, unless a word is an identifier."""
-    letters = F.regexp_replace(x, r"\P{IsAlphabetic}", "")
-    total = F.octet_length(letters)
-    ratio = F.regexp_count(letters, F.lit(r"\p{IsUppercase}")) / F.nullif(total, F.lit(0))
     named = F.exists(_words(x), is_identifier)
-    run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(x, F.lit(r"\p{IsAlphabetic}+"), F.lit(0)), lambda w: F.char_length(w))), F.lit(0))
-    mixed = (ratio > 0.3) & (ratio < 0.7) & (total > 8)
-    dense = F.least((F.lit(0.5) - F.abs(ratio - F.lit(0.5))) * F.lit(0.8), F.lit(0.4))
     free = F.lit(0.0)
-    return F.when(total < 5, free).when(mixed, F.when(named, free).otherwise(dense)).when((run > 20) & ~named, F.lit(0.3)).otherwise(free)
+
+    def judged(letters: Column) -> Column:
+        total = F.octet_length(letters)
+        ratio = F.regexp_count(letters, F.lit(r"\p{IsUppercase}")) / total
+        dense = lambda r: F.least((F.lit(0.5) - F.abs(r - F.lit(0.5))) * F.lit(0.8), F.lit(0.4))
+        run = F.when(x.rlike(r"\p{IsAlphabetic}{21}") & ~named, F.lit(0.3)).otherwise(free)
+        mixed = lambda r: (r > 0.3) & (r < 0.7) & (total > 8)
+        scored = lambda r: F.when(mixed(r), F.when(named, free).otherwise(dense(r))).otherwise(run)
+        return F.when(total < 5, free).otherwise(let(ratio, scored))
+
+    return let(F.regexp_replace(x, r"\P{IsAlphabetic}+", ""), judged)
+
+
+def score(x: Column, bonus: Column, long_word: Column, char_class: Column) -> Column:
+    """The quality of a trimmed line by its three parts: 0 to 1; lines under three bytes are neutral (0.5)."""
+    total = F.lit(0.5) + bonus - long_word - char_class
+    return F.when(F.octet_length(x) < 3, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)))
 
 
 def line_quality(x: Column) -> Column:
-    """0 to 1; lines under three bytes are neutral (0.5)."""
-    score = lambda t: F.lit(0.5) + pattern_bonus(t) - long_word_penalty(t) - char_class_penalty(t)
-    return let(trim(x), lambda t: F.when(F.octet_length(t) < 3, F.lit(0.5)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score(t)))))
+    """The quality of a line, for array functions; see ``with_quality`` for tables."""
+    return let(trim(x), lambda t: score(t, pattern_bonus(t), long_word_penalty(t), char_class_penalty(t)))
+
+
+def with_quality(table: DataFrame, line: str = "line") -> DataFrame:
+    """``table`` with ``bonus, long_word, char_class, quality`` of ``line``, each computed once a row."""
+    t = F.col("__t")
+    parts = {"bonus": pattern_bonus(t), "long_word": long_word_penalty(t), "char_class": char_class_penalty(t)}
+    staged = table.withColumn("__t", trim(F.col(line))).withColumns(parts)
+    return staged.withColumn("quality", score(t, *(F.col(c) for c in parts))).drop("__t")
 
 
 def is_heading(x: Column) -> Column:

@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from scrollweave.functions import text as T
@@ -20,10 +21,9 @@ Backend = Callable[[], Callable[[bytes, str], str]]
 BACKENDS: dict[str, Backend] = {}
 PREFERENCE = ("onnx", "ocr", "vlm")
 
-#: Prompts.
-PROMPT = "Extract the exact source code visible in this image. Output ONLY the code, no explanations or markdown fences. Preserve exact indentation. Ignore line numbers, file tabs, sidebar, minimap, terminal chrome."
-NARRATED = 'The presenter said: "{narration}"\n\n' + PROMPT
-CONTINUED = "Previous frame's code ended with:\n```\n{previous_tail}\n```\n\nExtract the code in this new frame exactly as shown. Output ONLY the code."
+PROMPT = "Write down the source code that this picture of a screen shows, with its indentation. Leave out line numbers, tabs, side bars and all else around the code. Answer with the code alone, without remarks or fences."
+NARRATED = 'Words spoken at this moment: "{narration}"\n\n' + PROMPT
+CONTINUED = "The frame before this one ended in this code:\n```\n{previous_tail}\n```\n\nWrite down the code of the new frame just as it stands there, and nothing else."
 
 
 def backend(name: str) -> Backend:
@@ -37,6 +37,19 @@ def choose(wanted: set[str]) -> str:
     return next((name for name in PREFERENCE if name in wanted), PREFERENCE[-1])
 
 
+class Progress:
+    """Counts the rows of a table while a job reads them, without a job of its own."""
+
+    def __init__(self, name: str):
+        self.seen = Observation(name)
+
+    def watch(self, table: DataFrame) -> DataFrame:
+        return table.observe(self.seen, F.count(F.lit(1)).alias("rows"))
+
+    def rows(self) -> int:
+        return int(self.seen.get["rows"])
+
+
 def prompt(previous: Column, narration: Column) -> Column:
     """For a model: the last 40 lines of the previous code, else the narration, else neither."""
     tail = T.let(T.lines(previous), lambda a: T.join_lines(F.slice(a, F.greatest(F.lit(1), F.size(a) - 39), F.lit(40))))
@@ -55,37 +68,49 @@ def with_retry(call: Callable[[], str], waits: tuple[float, ...] = (1.0, 2.0), t
     return call()
 
 
-def extract(frames: DataFrame, name: str, strict: bool = True, content: str = "content") -> DataFrame:
-    """``frames`` with ``text`` and ``error``. Strict: the first error fails the job; else it gives an empty text."""
+def extract(frames: DataFrame, name: str, strict: bool = True, content: str = "content", prompts: Column | None = None, parallel: int = 4) -> DataFrame:
+    """``frames`` with ``text`` and ``error``, read by the backend ``name`` from the images in ``content``.
+
+    Up to ``parallel`` images of a task are read at a time; texts stand with their frames. Strict: the first error fails
+    the job; else it gives an empty text and the error. ``prompts`` are PROMPT by default.
+    """
     make = backend(name)
 
     @F.pandas_udf("text string, error string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         call = make()
-        for images, prompts in batches:
-            out = []
-            for image, words in zip(images, prompts, strict=True):
-                try:
-                    out.append((with_retry(lambda image=image, words=words: call(image, words)), None))
-                except Exception as e:
-                    if strict:
-                        raise
-                    out.append(("", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["text", "error"])
-
-    return frames.withColumn("__x", run(F.col(content), F.lit(PROMPT))).select(*frames.columns, T.clean_response(F.col("__x.text")).alias("text"), F.col("__x.error").alias("error"))
-
-
-def refine(texts: DataFrame, client: Callable[[], Callable[[str], str]], agents: int = 4) -> DataFrame:
-    """``(id, text)`` refined in ``agents`` chunks by a client; blank texts stay. An error fails the job."""
+
+        def one(image: bytes, words: str) -> tuple[str, str | None]:
+            try:
+                return with_retry(lambda: call(image, words)), None
+            except Exception as e:
+                if strict:
+                    raise
+                return "", f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(max(1, parallel)) as pool:
+            for images, words in batches:
+                yield pd.DataFrame(list(pool.map(one, images, words)), columns=["text", "error"])
+
+    asked = F.lit(PROMPT) if prompts is None else prompts
+    return frames.withColumn("__x", run(F.col(content), asked)).select(*frames.columns, T.clean_response(F.col("__x.text")).alias("text"), F.col("__x.error").alias("error"))
+
+
+def refine(texts: DataFrame, client: Callable[[], Callable[[str, int, int], str]], agents: int = 4) -> DataFrame:
+    """``(id, text)`` refined in ``agents`` chunks by a client, which is told a chunk, its number and how many there are;
+    blank texts stay. Chunks are spread over tasks, ``agents`` at a time in each. An error fails the job."""
+    agents = max(1, agents)
     blank = T.trim(F.col("text")) == ""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = client()
-        for pdf in batches:
-            yield pdf.assign(text=pdf["text"].map(lambda x: with_retry(lambda: call(x), (2.0, 4.0))))
+        ask = lambda x, k, n: with_retry(lambda: call(x, int(k), int(n)), (2.0, 4.0))
+        with ThreadPoolExecutor(agents) as pool:
+            for pdf in batches:
+                yield pdf.assign(text=pd.Series(list(pool.map(ask, pdf["text"], pdf["chunk"], pdf["of"])), dtype=object, index=pdf.index))
 
     parts = chunks(texts.filter(~blank), agents)
+    parts = parts.withColumn("of", F.max("chunk").over(Window.partitionBy("id")))
     parts = parts.mapInPandas(run, parts.schema).withColumn("text", T.strip_fences(T.trim(F.col("text"))))
     joined = parts.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "text"))), lambda x: x["text"]), "\n").alias("text"))
     return texts.filter(blank).select("id", "text").unionByName(joined)

@@ -8,15 +8,22 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Structural similarity constants, scroll offsets and thresholds.
+#: Structural similarity constants; scroll offsets, the similarity that makes one, and its least rows.
 C1, C2, SIGMA = 6.5025, 58.5225, 1.5
-OFFSETS = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+OFFSETS, SCROLLED, LEAST_OVERLAP, LEAST_SIDE = (0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9), 0.85, 10, 40
+#: Fixed values of code regions: dark and light pixels and the share that decides, the share of a dark row or column, the
+#: deviation under which a side strip or a top bar is chrome, the least size, and edges of light screens.
+DARK, LIGHT, SHARE, DARK_LINE, FLAT_SIDE, FLAT_BAR, LEAST_REGION, EDGE_LINE, EDGE_PAD = 80, 200, 0.3, 0.5, 15.0, 20.0, 100, 5.0, 10
+#: Fixed values of terminals: a mean under this and fewer bright pixels than that share.
+TERMINAL_MEAN, BRIGHT, BRIGHT_SHARE = 40.0, 180, 0.15
 FRAME = "w int, h int, luma binary"
 REGION = "x int, y int, w int, h int, region_type string"
 
@@ -27,6 +34,7 @@ def plane(w: int, h: int, luma: bytes | None) -> np.ndarray | None:
     return np.frombuffer(luma, np.uint8).reshape(int(h), int(w))
 
 
+@lru_cache(maxsize=256)
 def _weights(n_in: int, n_out: int) -> np.ndarray:
     """Triangle filter from ``n_in`` to ``n_out`` samples, widened when shrinking."""
     scale = n_in / n_out
@@ -37,15 +45,32 @@ def _weights(n_in: int, n_out: int) -> np.ndarray:
 
 
 def resize(image: np.ndarray, w: int, h: int) -> np.ndarray:
+    if image.shape == (h, w):
+        return image
     out = _weights(image.shape[0], h) @ image.astype(np.float64) @ _weights(image.shape[1], w).T
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def _blur(images: np.ndarray) -> np.ndarray:
-    """Gaussian blur over the last two axes."""
+def _kernel() -> np.ndarray:
     radius = int(np.ceil(2 * SIGMA))
     kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * SIGMA**2))
-    kernel = (kernel / kernel.sum()).astype(images.dtype)
+    return kernel / kernel.sum()
+
+
+def blur_matrix(n: int) -> np.ndarray:
+    """The blur of ``n`` samples as a matrix; samples beyond an end are like the end."""
+    kernel = _kernel()
+    radius = len(kernel) // 2
+    out = np.zeros((n, n))
+    for t, k in enumerate(kernel):
+        out[np.arange(n), np.clip(np.arange(n) + t - radius, 0, n - 1)] += k
+    return out
+
+
+def _blur(images: np.ndarray) -> np.ndarray:
+    """Gaussian blur over the last two axes."""
+    kernel = _kernel().astype(images.dtype)
+    radius = len(kernel) // 2
     for axis in (-1, -2):
         n = images.shape[axis]
         padded = np.pad(images, [(radius, radius) if a == images.ndim + axis else (0, 0) for a in range(images.ndim)], mode="edge")
@@ -66,63 +91,101 @@ def ssim(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean((2 * mx * my + C1) * (2 * cxy + C2) / ((mx * mx + my * my + C1) * (vx + vy + C2)), dtype=np.float64))
 
 
+def similarities(pairs: DataFrame) -> DataFrame:
+    """``pairs (w, h, luma, other)`` with the ``similarity`` of both planes; null where one can't be read."""
+
+    @F.pandas_udf("double")
+    def compare(w: pd.Series, h: pd.Series, luma: pd.Series, other: pd.Series) -> pd.Series:
+        planes = ((plane(a, b, x), plane(a, b, y)) for a, b, x, y in zip(w, h, luma, other, strict=True))
+        return pd.Series([None if x is None or y is None else ssim(x, y) for x, y in planes], dtype="float64")
+
+    return pairs.withColumn("similarity", compare("w", "h", "luma", "other"))
+
+
 def narrow(image: np.ndarray, w: int = 320) -> np.ndarray:
     return resize(image, w, max(1, int(np.floor(image.shape[0] * w / image.shape[1] + 0.5))))
 
 
-def is_scroll(before: np.ndarray | None, now: np.ndarray | None) -> bool:
-    """Whether the view moved down: the lower part of one frame is the upper part of the next, at some offset."""
+def is_scroll(before: np.ndarray | None, now: np.ndarray | None, width: int = 320) -> bool:
+    """Whether the view moved down: the lower part of one frame is the upper part of the next, at some offset, both
+    resized to ``width``."""
     if before is None or now is None:
         return False
     h, w = min(before.shape[0], now.shape[0]), min(before.shape[1], now.shape[1])
-    if h < 40 or w < 40:
+    if h < LEAST_SIDE or w < LEAST_SIDE:
         return False
-    tall = max(1, int(np.floor(h * 320 / w + 0.5)))
-    a, b = resize(before, 320, tall), resize(now, 320, tall)
+    tall = max(1, int(np.floor(h * width / w + 0.5)))
+    a, b = resize(before, width, tall), resize(now, width, tall)
     shifts = [int(tall * part) for part in OFFSETS]
-    return any(ssim(a[s:], b[: tall - s]) > 0.85 for s in shifts if tall - s >= 10)
+    return any(ssim(a[s:], b[: tall - s]) > SCROLLED for s in shifts if tall - s >= LEAST_OVERLAP)
+
+
+def _in_order(frames: DataFrame, decide: Callable[[], Callable[[bool, np.ndarray | None], bool]], name: str) -> DataFrame:
+    """``frames`` with the flag ``name``: what ``decide`` says of each plane of a video in order of ``seq``, told whether it
+    is the first. Videos are streamed in Arrow batches over sorted partitions; a task holds what ``decide`` does."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        video, tell = object(), None
+        for pdf in batches:
+            flags = []
+            for own, w, h, luma in zip(pdf.video_id, pdf.w, pdf.h, pdf.luma, strict=True):
+                first = tell is None or own != video
+                if first:
+                    video, tell = own, decide()
+                flags.append(tell(first, None if pd.isna(w) or pd.isna(h) else plane(int(w), int(h), luma)))
+            yield pdf.assign(**{name: pd.Series(flags, dtype=bool, index=pdf.index)})
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema), f"`{name}` boolean"])
+    return frames.repartition("video_id").sortWithinPartitions("video_id", "seq").mapInPandas(run, schema)
 
 
-def dedup_frames(frames: DataFrame, threshold: float = 0.95) -> DataFrame:
-    """Frames ``(video_id, seq, w, h, luma, ...)`` that differ from the last one kept: similarity under ``threshold``
-    (held to 0..1), or another size. The first stays; unreadable ones go, but an unreadable first keeps all."""
+def dedup_frames(frames: DataFrame, threshold: float = 0.95, width: int = 320) -> DataFrame:
+    """Frames ``(video_id, seq, w, h, luma, ...)`` that differ from the last one kept: similarity, at ``width``, under
+    ``threshold`` (held to 0..1), or another size. The first stays; unreadable ones go, but an unreadable first keeps all."""
     threshold = min(1.0, max(0.0, threshold))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        keep, last = [], None
-        for k, (w, h, luma) in enumerate(zip(pdf.w, pdf.h, pdf.luma, strict=True)):
-            image = plane(w, h, luma)
+    def decide() -> Callable[[bool, np.ndarray | None], bool]:
+        last: list[np.ndarray | None] = [None]
+        everything = [False]
+
+        def tell(first: bool, image: np.ndarray | None) -> bool:
             if image is None:
-                if not k:
-                    return pdf
-                continue
-            image = narrow(image)
-            if last is None or last.shape != image.shape or ssim(last, image) < threshold:
-                keep.append(k)
-                last = image
-        return pdf.iloc[keep]
+                everything[0] |= first
+                return everything[0]
+            if everything[0]:
+                return True
+            image = narrow(image, width)
+            if last[0] is None or last[0].shape != image.shape or ssim(last[0], image) < threshold:
+                last[0] = image
+                return True
+            return False
+
+        return tell
 
-    return frames.groupBy("video_id").applyInPandas(run, frames.schema)
+    return _in_order(frames, decide, "__keep").filter("__keep").drop("__keep")
 
 
-def scroll_groups(frames: DataFrame) -> DataFrame:
+def scroll_groups(frames: DataFrame, width: int = 320) -> DataFrame:
     """Frames with ``group_idx`` and ``seq_in_group``: a new group begins unless a frame scrolls on from the one before.
 
-    Pairs come from a lag, their scores from an Arrow function, groups from a running sum of breaks.
+    Scores come from one pass that holds the frame before, groups from a running sum of breaks.
     """
-    w = Window.partitionBy("video_id").orderBy("seq")
 
-    @F.pandas_udf("boolean")
-    def moved(w0: pd.Series, h0: pd.Series, l0: pd.Series, w1: pd.Series, h1: pd.Series, l1: pd.Series) -> pd.Series:
-        rows = zip(w0.fillna(0).astype(int), h0.fillna(0).astype(int), l0, w1.fillna(0).astype(int), h1.fillna(0).astype(int), l1, strict=True)
-        return pd.Series([is_scroll(plane(a, b, c), plane(d, e, f)) for a, b, c, d, e, f in rows], dtype=bool)
+    def decide() -> Callable[[bool, np.ndarray | None], bool]:
+        before: list[np.ndarray | None] = [None]
+
+        def tell(first: bool, image: np.ndarray | None) -> bool:
+            on = not first and is_scroll(before[0], image, width)
+            before[0] = image
+            return on
 
-    lagged = frames.withColumns({f"__{c}": F.lag(c).over(w) for c in ("w", "h", "luma")})
-    scored = lagged.withColumn("__on", moved("__w", "__h", "__luma", "w", "h", "luma"))
+        return tell
+
+    w = Window.partitionBy("video_id").orderBy("seq")
+    scored = _in_order(frames, decide, "__on")
     grouped = scored.withColumn("group_idx", F.sum((~F.col("__on")).cast("int")).over(w) - 1)
     place = F.row_number().over(Window.partitionBy("video_id", "group_idx").orderBy("seq")) - 1
-    return grouped.withColumn("seq_in_group", place).drop("__w", "__h", "__luma", "__on")
+    return grouped.withColumn("seq_in_group", place).drop("__on")
 
 
 def _first_last(share: np.ndarray, above: float) -> tuple[int, int]:
@@ -162,25 +225,25 @@ def code_region(image: np.ndarray | None) -> tuple[int, int, int, int, str] | No
     if image is None:
         return None
     h, w = image.shape
-    dark, light = float((image < 80).mean()), float((image > 200).mean())
+    dark, light = float((image < DARK).mean()), float((image > LIGHT).mean())
     kind = "editor"
-    if dark > 0.3 and dark > light:
-        x0, x1 = _first_last((image < 80).mean(0), 0.5)
-        y0, y1 = _first_last((image < 80).mean(1), 0.5)
+    if dark > SHARE and dark > light:
+        x0, x1 = _first_last((image < DARK).mean(0), DARK_LINE)
+        y0, y1 = _first_last((image < DARK).mean(1), DARK_LINE)
         side, bar = max(30, int(w * 0.04)), max(20, int(h * 0.04))
-        if x1 - x0 > int(w * 0.6) and _flat(image, x0, y0, min(x0 + side, w), min(y1, h), 15.0):
+        if x1 - x0 > int(w * 0.6) and _flat(image, x0, y0, min(x0 + side, w), min(y1, h), FLAT_SIDE):
             x0 += side
-        if y1 - y0 > int(h * 0.5) and _flat(image, x0, y0, min(x1, w), min(y0 + bar, h), 20.0):
+        if y1 - y0 > int(h * 0.5) and _flat(image, x0, y0, min(x1, w), min(y0 + bar, h), FLAT_BAR):
             y0 += bar
-        box = (x0, y0, max(x1 - x0, 100), max(y1 - y0, 100))
+        box = (x0, y0, max(x1 - x0, LEAST_REGION), max(y1 - y0, LEAST_REGION))
         part = image[y0 : y0 + box[3], x0 : x0 + box[2]]
-        if part.size and part.mean() < 40.0 and (part > 180).mean() < 0.15:
+        if part.size and part.mean() < TERMINAL_MEAN and (part > BRIGHT).mean() < BRIGHT_SHARE:
             kind = "terminal"
-    elif light > 0.3:
+    elif light > SHARE:
         edges = _edges(image)
-        x0, x1 = _first_last(edges.mean(0), 5.0)
-        y0, y1 = _first_last(edges.mean(1), 5.0)
-        x0, y0, x1, y1 = max(0, x0 - 10), max(0, y0 - 10), min(w, x1 + 10), min(h, y1 + 10)
+        x0, x1 = _first_last(edges.mean(0), EDGE_LINE)
+        y0, y1 = _first_last(edges.mean(1), EDGE_LINE)
+        x0, y0, x1, y1 = max(0, x0 - EDGE_PAD), max(0, y0 - EDGE_PAD), min(w, x1 + EDGE_PAD), min(h, y1 + EDGE_PAD)
         box = (x0, y0, x1 - x0, y1 - y0)
     else:
         box = (0, 0, w, h)
@@ -205,22 +268,45 @@ def code_regions(frames: DataFrame) -> DataFrame:
 
 
 def crop(frames: DataFrame, regions: DataFrame) -> DataFrame:
-    """Frames cut to the region of their video; a frame that can't be read, or without a region, stays as it is."""
+    """Frames cut to the region of their video, planes and, if there is such a column, the pixels of ``rgb``; a frame that
+    can't be read, or without a region, stays as it is."""
+    colour = "rgb" in frames.columns
 
-    @F.pandas_udf(FRAME)
-    def cut(w: pd.Series, h: pd.Series, luma: pd.Series, x: pd.Series, y: pd.Series, rw: pd.Series, rh: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf(FRAME + ", rgb binary")
+    def cut(w: pd.Series, h: pd.Series, luma: pd.Series, rgb: pd.Series, x: pd.Series, y: pd.Series, rw: pd.Series, rh: pd.Series) -> pd.DataFrame:
         out = []
-        for a, b, c, *box in zip(w, h, luma, x, y, rw, rh, strict=True):
+        for a, b, c, pixels, *box in zip(w, h, luma, rgb, x, y, rw, rh, strict=True):
             image = plane(a, b, c)
             if image is not None and not any(pd.isna(v) for v in box):
                 cx, cy, cw, ch = clamp(tuple(int(v) for v in box), int(a), int(b))
+                if pixels is not None:
+                    pixels = np.frombuffer(pixels, np.uint8).reshape(int(b), int(a), 3)[cy : cy + ch, cx : cx + cw].tobytes()
                 a, b, c = cw, ch, image[cy : cy + ch, cx : cx + cw].tobytes()
-            out.append((a, b, c))
-        return pd.DataFrame(out, columns=["w", "h", "luma"])
+            out.append((a, b, c, pixels))
+        return pd.DataFrame(out, columns=["w", "h", "luma", "rgb"])
 
     r = regions.select("video_id", F.struct("x", "y", "w", "h").alias("__r"))
-    cropped = frames.join(r, "video_id", "left").withColumn("__c", cut("w", "h", "luma", "__r.x", "__r.y", "__r.w", "__r.h"))
-    return cropped.select(*(F.col(f"__c.{c}").alias(c) if c in ("w", "h", "luma") else F.col(c) for c in frames.columns))
+    pixels = F.col("rgb") if colour else F.lit(None).cast("binary")
+    cropped = frames.join(r, "video_id", "left").withColumn("__c", cut("w", "h", "luma", pixels, "__r.x", "__r.y", "__r.w", "__r.h"))
+    return cropped.select(*(F.col(f"__c.{c}").alias(c) if c in ("w", "h", "luma", "rgb") else F.col(c) for c in frames.columns))
+
+
+def as_png(frames: DataFrame, name: str = "content") -> DataFrame:
+    """Frames with the bytes of a PNG in ``name``: of ``rgb`` where there is such a column and it isn't null, else of the
+    plane; null if that can't be read either."""
+
+    @F.pandas_udf("binary")
+    def write(w: pd.Series, h: pd.Series, luma: pd.Series, rgb: pd.Series) -> pd.Series:
+        def one(a, b, c, pixels):
+            if pixels is not None:
+                return png(np.frombuffer(pixels, np.uint8).reshape(int(b), int(a), 3))
+            image = None if pd.isna(a) or pd.isna(b) else plane(int(a), int(b), c)
+            return None if image is None else png(image)
+
+        return pd.Series([one(*row) for row in zip(w, h, luma, rgb, strict=True)], dtype=object)
+
+    pixels = F.col("rgb") if "rgb" in frames.columns else F.lit(None).cast("binary")
+    return frames.withColumn(name, write("w", "h", "luma", pixels))
 
 
 def backfill(keyframes: DataFrame, scenes: DataFrame, least: int = 5) -> DataFrame:
@@ -245,6 +331,25 @@ def text_bands(rows: DataFrame, above: float = 0.02) -> DataFrame:
     return dense.withColumn("__i", island).groupBy("frame_id", "__i").agg(F.min("y").alias("y0"), (F.max("y") + 1).alias("y1")).drop("__i")
 
 
+def text_lines(rows: DataFrame, sizes: DataFrame, above: float = 0.02) -> DataFrame:
+    """``(frame_id, y0, y1)`` of text lines, in pixels of the frame: the bands of ``rows (frame_id, y, density)`` scaled from
+    the ``map_h`` rows of the map to the height ``img_h`` of ``sizes (frame_id, map_h, img_h)`` and cut into lines. A frame
+    without a band is sliced by line heights from the top, with what is left over if that is more than half of one."""
+    scale = F.col("img_h") / F.col("map_h")
+    found = text_bands(rows, above).join(sizes, "frame_id")
+    scaled = found.select("frame_id", "img_h", (F.col("y0") * scale).cast("int").alias("y0"), (F.col("y1") * scale).cast("int").alias("y1"))
+    cut = split_bands(scaled, F.col("img_h"))
+    line = line_height(F.col("img_h"))
+    bare = sizes.join(found.select("frame_id").distinct(), "frame_id", "left_anti").withColumn("__line", line)
+    bare = bare.withColumn("__n", F.floor(F.col("img_h") / F.col("__line")).cast("int"))
+    whole = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda k: F.struct((k * F.col("__line")).alias("y0"), ((k + 1) * F.col("__line")).alias("y1")))
+    end = F.col("__n") * F.col("__line")
+    rest = F.when(F.col("img_h") - end > F.floor(F.col("__line") / 2), F.array(F.struct(end.alias("y0"), F.col("img_h").cast("int").alias("y1"))))
+    none = F.array().cast("array<struct<y0:int,y1:int>>")
+    every = F.concat(F.when(F.col("__n") > 0, whole).otherwise(none), F.coalesce(rest, none))
+    return cut.unionByName(bare.select("frame_id", F.inline(every)))
+
+
 def split_bands(bands: DataFrame, img_h: Column) -> DataFrame:
     """Bands over 1.8 line heights cut into as many equal slices as line heights fit (two at least); the last slice takes
     the rest."""
@@ -255,6 +360,11 @@ def split_bands(bands: DataFrame, img_h: Column) -> DataFrame:
     return cut.select("frame_id", low.cast("int").alias("y0"), F.when(F.col("__k") == F.col("__n") - 1, F.col("y1")).otherwise(low + F.col("__step")).cast("int").alias("y1"))
 
 
+def best_class(scores: Column) -> Column:
+    """The place, from 0, of the largest of an array of scores; the first of equals."""
+    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
 def ctc_decode(steps: Column, dictionary: Column) -> Column:
     """Text of a best-class sequence (0 is blank, class c is entry c - 1 of the dictionary, classes beyond say nothing).
 
@@ -283,8 +393,53 @@ def ctc_decode(steps: Column, dictionary: Column) -> Column:
 
 
 def png(image: np.ndarray) -> bytes:
-    """An 8-bit grey PNG."""
-    h, w = image.shape
+    """An 8-bit PNG of a plane or of colour pixels (h, w, 3)."""
+    h, w = image.shape[:2]
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     raw = b"".join(b"\0" + row.tobytes() for row in image)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    head = struct.pack(">IIBBBBB", w, h, 8, 0 if image.ndim == 2 else 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def read_png(data: bytes) -> np.ndarray:
+    """The colour pixels (h, w, 3) of an 8-bit PNG that isn't interlaced and has no palette; alpha is left out."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, parts, head = 8, [], None
+    while at < len(data):
+        size, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + size]
+        if kind == b"IHDR":
+            head = struct.unpack(">IIBBBBB", body)
+        elif kind == b"IDAT":
+            parts.append(body)
+        at += size + 12
+    if head is None or head[2] != 8 or head[3] not in (0, 2, 4, 6) or head[6]:
+        raise ValueError("this kind of PNG is not read here")
+    w, h, n = head[0], head[1], {0: 1, 2: 3, 4: 2, 6: 4}[head[3]]
+    rows = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(h, 1 + w * n)
+    out = np.zeros((h, w, n), np.uint8)
+    above = np.zeros((w, n), np.uint8)
+    for y, (kind, line) in enumerate(zip(rows[:, 0].tolist(), rows[:, 1:].reshape(h, w, n), strict=True)):
+        out[y] = above = _unfiltered(kind, line, above)
+    return np.repeat(out[..., :1], 3, 2) if n < 3 else np.ascontiguousarray(out[..., :3])
+
+
+def _unfiltered(kind: int, line: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """A PNG line of pixels without its filter: none, left, above, their mean, or the nearest of three to a prediction."""
+    if kind == 0:
+        return line
+    if kind == 1:
+        return np.cumsum(line, 0, dtype=np.uint8)
+    if kind == 2:
+        return line + above
+    left, corner, out = np.zeros(line.shape[1], np.int16), np.zeros(line.shape[1], np.int16), np.empty_like(line)
+    for x, (delta, up) in enumerate(zip(line.astype(np.int16), above.astype(np.int16), strict=True)):
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            far = np.abs(np.stack([up - corner, left - corner, left + up - 2 * corner]))
+            guess = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+        out[x] = (delta + guess) & 255
+        left, corner = out[x].astype(np.int16), up
+    return out

@@ -13,12 +13,6 @@ def explode_lines(texts: DataFrame, id_col: str = "id", text_col: str = "text")
     return texts.select(F.col(id_col).alias("id"), F.posexplode(T.lines(F.col(text_col))).alias("i", "line"))
 
 
-def assemble(table: DataFrame, ids: DataFrame, line: str = "line") -> DataFrame:
-    """``(id, text)`` from lines in order; ids without a line get the empty text."""
-    joined = table.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", line))), lambda x: x[line]), "\n").alias("text"))
-    return ids.join(joined, "id", "left").select("id", F.coalesce("text", F.lit("")).alias("text"))
-
-
 def _runs(table: DataFrame, starts: Column, name: str, order: str = "i") -> DataFrame:
     w = Window.partitionBy("id").orderBy(order)
     return table.withColumn(name, F.sum(starts.cast("int")).over(w))
@@ -35,7 +29,7 @@ def collapse_runs(table: DataFrame, longest: int = 5) -> DataFrame:
 
 def clean_lines(table: DataFrame, least: float = 0.3) -> DataFrame:
     """Runs collapsed first, then lines of too low quality out."""
-    return collapse_runs(table).withColumn("__q", T.line_quality(F.col("line"))).filter(F.col("__q") >= least).drop("__q")
+    return T.with_quality(collapse_runs(table)).filter(F.col("quality") >= least).select(*table.columns)
 
 
 def clean_text(text: Column, least: float = 0.3, longest: int = 5) -> Column:
@@ -149,6 +143,15 @@ def chunks(texts: DataFrame, n: int) -> DataFrame:
     return per.groupBy("id", "chunk").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
 
+def views(texts: DataFrame, visible: int = 6, step: int = 3) -> DataFrame:
+    """``(id, k, v)``: what a window of ``visible`` lines shows that scrolls down ``step`` lines at a time and ends at the last
+    line; a text without lines shows nothing."""
+    a = texts.select("id", T.lines(F.col("text")).alias("__a")).filter(F.size("__a") > 0)
+    last = F.greatest(F.size("__a") - visible, F.lit(0))
+    seen = a.withColumn("k", F.explode(F.sequence(F.lit(0), F.ceil(last / step).cast("int"))))
+    return seen.select("id", "k", F.slice("__a", F.least(F.col("k") * step, F.greatest(F.size("__a") - visible, F.lit(0))) + 1, F.lit(visible)).alias("v"))
+
+
 def _suffix_prefix(a: Column, b: Column, n: Column, same) -> Column:
     return same(F.slice(a, F.size(a) - n + 1, n), F.slice(b, F.lit(1), n))
 

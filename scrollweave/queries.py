@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scrollweave import sql
 from scrollweave.functions import text as T
 from scrollweave.operators import extract, folds, frames, lines
 from scrollweave.plans import chain
 from scrollweave.sources import sinks
+from scrollweave.sql import d_hash, d_lines, d_norm, d_trim
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,36 +40,13 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.explode_lines(_texts(spark, sf))
 
 
-# DuckDB spellings of the primitives.
-_WS = r"[\t-\r\x{85}\p{Z}]"
-
-
-def d_lines(x: str) -> str:
-    r = f"replace({x}, chr(13) || chr(10), chr(10))"
-    return f"(CASE WHEN {r} = '' OR suffix({r}, chr(10)) THEN string_split({r}, chr(10))[1:len(string_split({r}, chr(10))) - 1] ELSE string_split({r}, chr(10)) END)"
-
-
-def d_trim(x: str) -> str:
-    return f"regexp_replace({x}, '^{_WS}+|{_WS}+$', '', 'g')"
-
-
-def d_norm(x: str) -> str:
-    lead = r"^[#*\->@+\t-\r\x{85}\p{Z}]+"
-    trimmed = d_trim(f"replace(regexp_replace({x}, '{lead}', ''), '**', '')")
-    return f"lower({trimmed})"
-
-
-def d_hash(x: str) -> str:
-    return f"md5({x})[1:12]"
-
-
 _L = f"L AS (SELECT doc_id AS id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, {d_lines('text')} AS a FROM documents))"
 
 
 def d_quality(prefix: str) -> str:
     """CTEs from ``prefix``'s table L (line) to Q with the parts and the score of each distinct line."""
     tokens = " OR ".join(f"contains(t, '{w} ')" for w in T.CODE_TOKENS)
-    words = f"list_filter(regexp_split_to_array(t, '{_WS}+'), lambda w: w <> '')"
+    words = f"list_filter(regexp_split_to_array(t, '{sql.WS}+'), lambda w: w <> '')"
     ident = lambda w: f"regexp_matches({w}, '[_.]|::|\\p{{Ll}}\\p{{Lu}}')"
     return f"""{prefix},
 U AS (SELECT line, {d_trim('line')} AS t FROM (SELECT DISTINCT line FROM L)),
@@ -89,6 +68,12 @@ _RUNS = """R AS (SELECT *, sum(CASE WHEN line = prev THEN 0 ELSE 1 END) OVER (PA
 C AS (SELECT id, i, line FROM (SELECT *, count(*) OVER (PARTITION BY id, run) AS n, row_number() OVER (PARTITION BY id, run ORDER BY i) AS k FROM R) WHERE n < 5 OR k = 1)"""
 
 
+def d_clean(src: str) -> str:
+    """``(id, text)`` of ``src`` without runs and low-quality lines."""
+    return f"""WITH {d_quality(sql.line_table(src))}, {_RUNS}, K AS (SELECT id, string_agg(C.line, chr(10) ORDER BY i) AS text FROM C JOIN Q USING (line) WHERE quality >= 0.3::DOUBLE GROUP BY id)
+SELECT s.id, coalesce(K.text, '') AS text FROM {src} s LEFT JOIN K USING (id)"""
+
+
 @query(f"WITH {_L} SELECT id, i::INT AS i, line, {d_hash('line')} AS raw_hash, {d_hash(d_norm('line'))} AS norm_hash FROM L")
 def line_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return _lines(spark, sf).select("id", "i", "line", T.line_hash(F.col("line")).alias("raw_hash"), T.normalized_line_hash(F.col("line")).alias("norm_hash"))
@@ -96,9 +81,8 @@ def line_hashes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {d_quality(_L)} SELECT id, i::INT AS i, round(bonus, 6) AS bonus, round(long_word, 6) AS long_word, round(char_class, 6) AS char_class, round(quality, 6) AS quality FROM L JOIN Q USING (line)")
 def line_quality(spark: SparkSession, sf: str) -> DataFrame:
-    t = T.trim(F.col("line"))
-    parts = {"bonus": T.pattern_bonus(t), "long_word": T.long_word_penalty(t), "char_class": T.char_class_penalty(t), "quality": T.line_quality(F.col("line"))}
-    return _lines(spark, sf).select("id", "i", *(F.round(c, 6).alias(k) for k, c in parts.items()))
+    scored = T.with_quality(_lines(spark, sf))
+    return scored.select("id", "i", *(F.round(c, 6).alias(c) for c in ("bonus", "long_word", "char_class", "quality")))
 
 
 @query(f"WITH {_L}, {_RUNS} SELECT id, i::INT AS i, line FROM C")
@@ -111,8 +95,10 @@ def clean_lines(spark: SparkSession, sf: str) -> DataFrame:
     return lines.clean_lines(_lines(spark, sf))
 
 
-@query(f"""WITH {d_quality(_L)}, {_RUNS}, K AS (SELECT id, string_agg(C.line, chr(10) ORDER BY i) AS text FROM C JOIN Q USING (line) WHERE quality >= 0.3::DOUBLE GROUP BY id)
-SELECT doc_id AS id, coalesce(K.text, '') AS text FROM documents LEFT JOIN K ON doc_id = id""")
+_DOCS = "(SELECT doc_id AS id, text FROM documents)"
+
+
+@query(d_clean(_DOCS))
 def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return _texts(spark, sf).select("id", lines.clean_text(F.col("text")).alias("text"))
 
@@ -125,15 +111,25 @@ def hallucinated_texts(spark: SparkSession, sf: str) -> DataFrame:
     return share.join(lines.hallucinated(t, F.col("id") % 4).withColumnRenamed("hallucinated", "by_length"), "id")
 
 
-def _blocks_corpus(spark: SparkSession, sf: str) -> DataFrame:
-    """Per language the texts in order, an empty line between two, every fifth with a marker line first."""
-    part = F.concat(F.when(F.col("doc_id") % 5 == 0, F.lit("---\n")).otherwise(""), F.col("text"))
-    listed = F.sort_array(F.collect_list(F.struct("doc_id", part.alias("t"))))
-    return _table(spark, sf, "documents").groupBy(F.col("lang").alias("id")).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("text"))
+def _repeated(spark: SparkSession, sf: str) -> DataFrame:
+    """Each text three times over, an empty line between: as it is, in blocks of four lines, and in one more way by its
+    number; so it has blocks and passages that repeat exactly and nearly."""
+    t = F.col("text")
+    group = lambda a, k: F.array_join(F.slice(a, k * 4 + 1, F.lit(4)), "\n")
+    groups = lambda a: F.array_join(F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 4).cast("int")), lambda k: group(a, k)), "\n\n")
+    four = lambda x: T.let(F.split(x, "\n", -1), groups)
+    again = F.when(F.col("id") % 4 == 0, four(t)).when(F.col("id") % 4 == 1, F.concat(F.lit("# "), t)).when(F.col("id") % 4 == 2, F.concat(t, F.lit("\nplus one"))).otherwise(four(F.replace(t, F.lit(" the "), F.lit(" THE "))))
+    mark = F.when(F.col("id") % 5 == 0, F.lit("---\n")).otherwise(F.lit(""))
+    return _texts(spark, sf).select("id", F.concat(mark, t, F.lit("\n\n"), four(t), F.lit("\n\n"), again).alias("text"))
+
+
+def _four(x: str) -> str:
+    return f"(SELECT array_to_string(list_transform(range((len(a) - 1) // 4 + 1), lambda k: array_to_string(a[k * 4 + 1 : k * 4 + 4], chr(10))), chr(10) || chr(10)) FROM (SELECT string_split({x}, chr(10)) AS a))"
 
 
-_BL = f"""L AS (SELECT id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT id, {d_lines('text')} AS a FROM (SELECT lang AS id, string_agg((CASE WHEN doc_id % 5 = 0 THEN '---' || chr(10) ELSE '' END) || text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY lang)))"""
-_BB = f"""F AS (SELECT *, {d_trim('line')} <> '' AS solid FROM L), S AS (SELECT *, sum(CASE WHEN solid AND NOT coalesce(before, false) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) - 1 AS block FROM (SELECT *, lag(solid) OVER (PARTITION BY id ORDER BY i) AS before FROM F)), B AS (SELECT id, block::BIGINT AS block, i::INT AS i, line FROM S WHERE solid)"""
+_REPEATED = f"""(SELECT doc_id AS id, CASE WHEN doc_id % 5 = 0 THEN '---' || chr(10) ELSE '' END || text || chr(10) || chr(10) || {_four('text')} || chr(10) || chr(10) || CASE doc_id % 4 WHEN 0 THEN {_four('text')} WHEN 1 THEN '# ' || text
+WHEN 2 THEN text || chr(10) || 'plus one' ELSE {_four("replace(text, ' the ', ' THE ')")} END AS text FROM documents)"""
+_BL, _BB = sql.line_table(_REPEATED), sql.BLOCKS
 _PAIRS = """H AS (SELECT id, {unit} AS u, h, count(*) AS n FROM (SELECT *, {hash} AS h FROM {table}) GROUP BY ALL), Z AS (SELECT id, u, sum(n) AS size FROM H GROUP BY ALL),
 X AS (SELECT x.id, x.u AS a, y.u AS b, sum(least(x.n, y.n)) AS common FROM H x JOIN H y ON x.id = y.id AND x.h = y.h AND x.u < y.u GROUP BY ALL)
 SELECT X.id, a, b, round(common / greatest(p.size, q.size)::DOUBLE, 6) AS similarity FROM X JOIN Z p ON p.id = X.id AND p.u = a JOIN Z q ON q.id = X.id AND q.u = b WHERE common / greatest(p.size, q.size)::DOUBLE > {above}::DOUBLE"""
@@ -141,12 +137,12 @@ SELECT X.id, a, b, round(common / greatest(p.size, q.size)::DOUBLE, 6) AS simila
 
 @query(f"WITH {_BL}, {_BB} SELECT id, block, i, line FROM B")
 def split_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.blocks(lines.explode_lines(_blocks_corpus(spark, sf)))
+    return lines.blocks(lines.explode_lines(_repeated(spark, sf)))
 
 
 @query(f"WITH {_BL}, {_BB}, " + _PAIRS.format(unit="block", hash=d_hash(d_norm("line")), table="B", above="0.85"))
 def block_similarity_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    found = lines.block_pairs(lines.blocks(lines.explode_lines(_blocks_corpus(spark, sf))))
+    found = lines.block_pairs(lines.blocks(lines.explode_lines(_repeated(spark, sf))))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -157,27 +153,19 @@ def revision_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return lines.block_pairs(table, "doc_id", 0.75).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(sql.dedup_blocks(_REPEATED))
 def dedup_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.per_text(_blocks_corpus(spark, sf), folds.dedup_blocks)
+    return folds.per_text(_repeated(spark, sf), folds.dedup_blocks)
 
 
 def _sectioned(spark: SparkSession, sf: str) -> DataFrame:
-    """Per source the texts under headings of two levels, so that keys repeat."""
-    head = F.concat(F.lit("## v0."), (F.col("doc_id") % 7).cast("string"), F.lit("\n### "), (F.col("doc_id") % 3).cast("string"), F.lit("\n"), F.col("text"))
-    listed = F.sort_array(F.collect_list(F.struct("doc_id", head.alias("t"))))
-    return _table(spark, sf, "documents").groupBy(F.col("source").alias("id")).agg(F.concat(F.lit("intro\n"), F.array_join(F.transform(listed, lambda x: x["t"]), "\n")).alias("text"))
+    """Each text twice under headings of two levels, so that keys repeat."""
+    head = lambda k: F.concat(F.lit("## v0."), (F.col("id") % 7).cast("string"), F.lit("\n### "), (F.col("id") % k).cast("string"), F.lit("\n"))
+    return _texts(spark, sf).select("id", F.concat(F.lit("intro\n"), head(3), F.col("text"), F.lit("\n"), head(2), F.col("text"), F.lit("\nlast")).alias("text"))
 
 
-_heading = f"(regexp_matches({d_trim('line')}, '^(#|@@)') OR regexp_matches({d_trim('line')}, '^[*\\->\\t-\\r\\x{{85}}\\p{{Z}}]*v[0-9]'))"
-_SL = f"""L AS (SELECT id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT id, {d_lines('text')} AS a FROM (SELECT source AS id, 'intro' || chr(10) || string_agg('## v0.' || (doc_id % 7) || chr(10) || '### ' || (doc_id % 3) || chr(10) || text, chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source))),
-M AS (SELECT *, {_heading} AS head, greatest(1, length(regexp_extract({d_trim('line')}, '^#+'))) AS level, {d_norm('line')} AS name FROM L),
-N AS (SELECT *, sum(CASE WHEN head OR i = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) - 1 AS section FROM M),
-E AS (SELECT id, section, min(i) AS s, max(i) + 1 AS e, bool_or(head) AS head, max(CASE WHEN head THEN level END) AS level, max(CASE WHEN head THEN name END) AS name FROM N GROUP BY ALL),
-A AS (SELECT x.id, x.section, y.section AS up, y.name, y.level, (SELECT min(z.level) FROM E z WHERE z.id = x.id AND z.head AND z.section > y.section AND z.section <= x.section) AS between_level
-  FROM E x JOIN E y ON x.id = y.id AND y.head AND x.head AND y.section <= x.section),
-K AS (SELECT id, section, string_agg(name, '|' ORDER BY up) AS key FROM A WHERE between_level IS NULL OR level < between_level GROUP BY ALL),
-SEC AS (SELECT E.id, E.section::BIGINT AS section, s::BIGINT AS start, e::BIGINT AS "end", key, (e - s - CASE WHEN head THEN 1 ELSE 0 END)::BIGINT AS body_len FROM E LEFT JOIN K USING (id, section))"""
+_head = "'## v0.' || (doc_id % 7) || chr(10) || '### ' || (doc_id % {k}) || chr(10)"
+_SL = sql.sections(f"(SELECT doc_id AS id, 'intro' || chr(10) || {_head.format(k=3)} || text || chr(10) || {_head.format(k=2)} || text || chr(10) || 'last' AS text FROM documents)")
 
 
 @query(f"WITH {_SL} SELECT * FROM SEC")
@@ -185,8 +173,7 @@ def split_sections(spark: SparkSession, sf: str) -> DataFrame:
     return lines.sections(lines.explode_lines(_sectioned(spark, sf)))
 
 
-@query(f"""WITH {_SL}, W AS (SELECT *, row_number() OVER (PARTITION BY id, coalesce(key, '#' || section) ORDER BY body_len DESC, section) AS rank, min(section) OVER (PARTITION BY id, coalesce(key, '#' || section)) AS place FROM SEC)
-SELECT L.id, row_number() OVER (PARTITION BY L.id ORDER BY place, L.i) - 1 AS i, L.line FROM W JOIN L ON L.id = W.id AND L.i >= W.start AND L.i < W."end" WHERE rank = 1""")
+@query(f"WITH {_SL}, {sql.DEDUP_SECTIONS} SELECT id, i, line FROM DS")
 def dedup_sections(spark: SparkSession, sf: str) -> DataFrame:
     return lines.dedup_sections(lines.explode_lines(_sectioned(spark, sf)))
 
@@ -195,12 +182,12 @@ def dedup_sections(spark: SparkSession, sf: str) -> DataFrame:
 F AS (SELECT *, min(i) OVER (PARTITION BY id, h, h1, h2) AS first FROM T WHERE h2 IS NOT NULL)
 SELECT id, i::INT AS i, first::INT AS first FROM F WHERE first <= i - 3 AND h <> '{T.BLANK}' AND len(list_distinct(list_filter([h, h1, h2], lambda x: x <> '{T.BLANK}'))) >= 2""")
 def passage_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    return lines.passage_candidates(lines.explode_lines(_blocks_corpus(spark, sf)))
+    return lines.passage_candidates(lines.explode_lines(_repeated(spark, sf)))
 
 
-@query()
+@query(sql.dedup_passages(_REPEATED))
 def dedup_passages(spark: SparkSession, sf: str) -> DataFrame:
-    return folds.per_text(_blocks_corpus(spark, sf), folds.dedup_passages)
+    return folds.per_text(_repeated(spark, sf), folds.dedup_passages)
 
 
 def _captures(spark: SparkSession, sf: str) -> DataFrame:
@@ -231,12 +218,15 @@ def overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("id", "k", lines.overlap(F.col("p"), F.col("h")).cast("int").alias("overlap"), lines.reverse_overlap(F.col("p"), F.col("h")).cast("int").alias("reverse"))
 
 
-@query()
+@query(sql.stitch_scroll(f"(WITH {_CAP} SELECT id, k, v FROM CV)"))
 def stitch_scroll(spark: SparkSession, sf: str) -> DataFrame:
     return folds.per_group(_captures(spark, sf).select("id", "k", T.join_lines(F.col("v")).alias("text")), folds.stitch_scroll, "id", "k")
 
 
-@query()
+_VIDEOS = "(SELECT source AS id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, text FROM documents)"
+
+
+@query(f"SELECT id AS source, text FROM ({sql.stitch_revisions(_VIDEOS)})")
 def stitch_revisions(spark: SparkSession, sf: str) -> DataFrame:
     return folds.per_group(_table(spark, sf, "documents"), folds.stitch_revisions, "source", "doc_id")
 
@@ -355,19 +345,51 @@ def text_bands(spark: SparkSession, sf: str) -> DataFrame:
 _LETTERS = list("abcdefghij")
 
 
-@query(f"""WITH S AS (SELECT vec_id, unnest(range(64)) AS t, unnest(list_transform(embedding, lambda x: greatest(0, floor(x::DOUBLE * 40))::INT)) AS c FROM embeddings),
+def d_ctc(src: str) -> str:
+    """``(vec_id, text)`` of steps ``src (vec_id, t, c)`` by the letters above."""
+    return f"""WITH S AS (SELECT * FROM {src}),
 P AS (SELECT *, lag(c, 1, 0) OVER (PARTITION BY vec_id ORDER BY t) AS prev, max(CASE WHEN c <> 0 THEN t END) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM S),
 G AS (SELECT *, CASE WHEN last IS NULL THEN t ELSE t - last - 1 END AS run FROM P WHERE c <> 0),
 M AS (SELECT vec_id, count(*) AS n, list_sort(list(run)) AS runs FROM G WHERE last IS NOT NULL AND run > 0 GROUP BY vec_id),
 H AS (SELECT G.*, CASE WHEN coalesce(n, 0) > 2 THEN greatest(4, floor(runs[n // 2 + 1] * 2.5::DOUBLE)::INT) ELSE 8 END AS wide, c <> prev AND c <= 10 AS told FROM G LEFT JOIN M USING (vec_id)),
 J AS (SELECT *, coalesce(bool_or(told) OVER (PARTITION BY vec_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS begun FROM H),
 O AS (SELECT vec_id, string_agg((CASE WHEN run >= wide AND begun THEN ' ' ELSE '' END) || (CASE WHEN told THEN substr('abcdefghij', c, 1) ELSE '' END), '' ORDER BY t) AS text FROM J GROUP BY vec_id)
-SELECT vec_id, coalesce(O.text, '') AS text FROM embeddings LEFT JOIN O USING (vec_id)""")
+SELECT vec_id, coalesce(O.text, '') AS text FROM embeddings LEFT JOIN O USING (vec_id)"""
+
+
+@query(d_ctc("(SELECT vec_id, unnest(range(64)) AS t, unnest(list_transform(embedding, lambda x: greatest(0, floor(x::DOUBLE * 40))::INT)) AS c FROM embeddings)"))
 def ctc_decode(spark: SparkSession, sf: str) -> DataFrame:
     steps = F.transform("embedding", lambda x: F.greatest(F.lit(0), F.floor(x.cast("double") * 40)).cast("int"))
     return _table(spark, sf, "embeddings").withColumn("s", steps).select("vec_id", frames.ctc_decode(F.col("s"), F.array(*(F.lit(c) for c in _LETTERS))).alias("text"))
 
 
+@query(d_ctc("(SELECT vec_id, t, list_position(e, list_max(e)) - 1 AS c FROM (SELECT vec_id, t, embedding[t * 4 + 1 : t * 4 + 4] AS e FROM embeddings, range(16) AS r(t)))"))
+def recognised_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Sixteen steps of four scores each; the best class of each step, decoded."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda t: frames.best_class(F.slice("embedding", t * 4 + 1, F.lit(4))))
+    return _table(spark, sf, "embeddings").withColumn("s", steps).select("vec_id", frames.ctc_decode(F.col("s"), F.array(*(F.lit(c) for c in _LETTERS))).alias("text"))
+
+
+@query(f"""WITH {_bands.replace("> 0.05::DOUBLE", "> 0.05::DOUBLE AND vec_id % 5 <> 0")}, Z AS (SELECT vec_id AS frame_id, 64 + (vec_id % 7) * 150 AS h, floor(greatest((64 + (vec_id % 7) * 150) / 1080::DOUBLE * 25, 12::DOUBLE))::INT AS line FROM embeddings),
+B AS (SELECT frame_id, h, line, floor(y0 / 8 * (h / 64::DOUBLE))::INT AS y0, floor(y1 / 8 * (h / 64::DOUBLE))::INT AS y1 FROM N JOIN Z USING (frame_id)),
+S AS (SELECT *, CASE WHEN y1 - y0 <= floor(line * 1.8::DOUBLE) THEN 1 ELSE greatest(2, round((y1 - y0) / line::DOUBLE)::INT) END AS n FROM B), K AS (SELECT *, (y1 - y0) // n AS step, unnest(range(n)) AS k FROM S),
+U AS (SELECT frame_id, h, line, unnest(range(h // line + 1)) AS k FROM Z WHERE frame_id NOT IN (SELECT frame_id FROM N))
+SELECT frame_id, (y0 + k * step)::INT AS y0, (CASE WHEN k = n - 1 THEN y1 ELSE y0 + (k + 1) * step END)::INT AS y1 FROM K
+UNION ALL SELECT frame_id, (k * line)::INT, least((k + 1) * line, h)::INT FROM U WHERE (k + 1) * line <= h OR h - k * line > line // 2""")
+def text_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of frames of seven heights, of which every fifth has no band."""
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.posexplode("embedding").alias("y", "d"))
+    inked = (F.abs(F.col("d").cast("double")) > 0.05) & (F.col("frame_id") % 5 != 0)
+    sizes = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame_id"), F.lit(64).alias("map_h"), (64 + F.col("vec_id") % 7 * 150).alias("img_h"))
+    return frames.text_lines(e.select("frame_id", "y", F.when(inked, 1.0).otherwise(0.0).alias("density")), sizes)
+
+
+@query(f"""WITH A AS (SELECT doc_id AS id, {d_lines('text')} AS a FROM documents)
+SELECT id, k::INT AS k, array_to_string(a[least(k * 3, greatest(len(a) - 6, 0)) + 1 : least(k * 3, greatest(len(a) - 6, 0)) + 6], chr(10)) AS text FROM (SELECT *, unnest(range(ceil(greatest(len(a) - 6, 0) / 3.0::DOUBLE)::BIGINT + 1)) AS k FROM A WHERE len(a) > 0)""")
+def scroll_views(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.views(_texts(spark, sf)).select("id", "k", T.join_lines(F.col("v")).alias("text"))
+
+
 @query(r"""SELECT page_id, CASE WHEN page_id % 10 = 0 THEN 'file_' || page_id || '.txt' ELSE regexp_replace(url, '[/\\]', '_', 'g') END AS name FROM pages""")
 def safe_names(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.get(F.array(F.lit(""), F.lit("."), F.lit("..")), (F.col("page_id") % 3).cast("int"))
@@ -385,23 +407,129 @@ def _images(spark: SparkSession, sf: str) -> DataFrame:
     return base.withColumn("twice", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("seq", F.col("seq") * 2 + F.col("twice")).drop("twice").withColumn("timestamp", F.col("seq").cast("double"))
 
 
-@query()
+def _hexed(p: Column) -> Column:
+    return F.unhex(F.array_join(F.transform(p, lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+
+
+@query(sql.frame_dedup(f"(SELECT label AS video_id, vec_id * 3 + k AS seq, list_transform(list_transform(range(64), lambda j: {_px}[j + 1] + CASE WHEN k = 2 AND j = vec_id % 64 THEN 20 * (vec_id % 7) ELSE 0 END), lambda x: least(255, x)::DOUBLE) AS p FROM embeddings, range(3) AS r(k))", 8))
 def frame_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.dedup_frames(_images(spark, sf)).select("video_id", "seq")
+    """Per label a video of 8 x 8 planes, compared at their own width: each plane, the same again, and with one pixel changed."""
+    e = _table(spark, sf, "embeddings").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    spot = lambda x, j: F.least(F.lit(255), x + F.when((F.col("k") == 2) & (j == F.col("vec_id") % 64), 20 * (F.col("vec_id") % 7)).otherwise(0)).cast("int")
+    p = F.transform(_pixels(F.col("embedding")), spot)
+    table = e.select(F.col("label").alias("video_id"), (F.col("vec_id") * 3 + F.col("k")).alias("seq"), F.lit(8).alias("w"), F.lit(8).alias("h"), _hexed(p).alias("luma"))
+    return frames.dedup_frames(table, width=8).select("video_id", "seq")
 
 
-@query()
-def scroll_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return frames.scroll_groups(_images(spark, sf)).select("video_id", "seq", "group_idx", "seq_in_group")
+_SCROLLS = f"""(WITH E AS (SELECT label AS video_id, vec_id AS seq, list_transform(embedding, lambda x: greatest(0, least(255, floor(128 + x::DOUBLE * 400)))::INT) AS p, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM embeddings),
+L AS (SELECT *, lag(p) OVER (PARTITION BY video_id ORDER BY k) AS q, 3 + k % 5 AS s FROM E)
+SELECT video_id, seq, list_transform(range(1600), lambda j: (CASE WHEN k % 2 = 1 THEN p[(j // 200) * 8 + (j % 40) // 5 + 1] WHEN j // 40 + s < 40 THEN q[((j // 40 + s) // 5) * 8 + (j % 40) // 5 + 1] ELSE p[((j // 40 + s - 40) // 5) * 8 + (j % 40) // 5 + 1] END)::DOUBLE) AS p FROM L)"""
 
 
-@query()
+@query(sql.scroll_groups(_SCROLLS, 40))
+def scroll_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label a video of 40 x 40 planes, compared at their own width; every second is the one before, scrolled by three to
+    seven rows, and goes on with its own."""
+    w = Window.partitionBy("label").orderBy("vec_id")
+    value = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(128 + x.cast("double") * 400))).cast("int")
+    e = _table(spark, sf, "embeddings").select("label", "vec_id", F.transform("embedding", value).alias("p"), F.row_number().over(w).alias("k"))
+    e = e.withColumns({"q": F.lag("p").over(w), "s": 3 + F.col("k") % 5})
+    at = lambda a, y, x: F.get(a, F.floor(y / 5).cast("int") * 8 + F.floor(x / 5).cast("int"))
+    y, x = (lambda j: F.floor(j / 40).cast("int")), (lambda j: j % 40)
+    moved = lambda j: F.when(y(j) + F.col("s") < 40, at(F.col("q"), y(j) + F.col("s"), x(j))).otherwise(at(F.col("p"), y(j) + F.col("s") - 40, x(j)))
+    p = F.transform(F.sequence(F.lit(0), F.lit(1599)), lambda j: F.when(F.col("k") % 2 == 1, at(F.col("p"), y(j), x(j))).otherwise(moved(j)))
+    table = e.select(F.col("label").alias("video_id"), F.col("vec_id").alias("seq"), F.lit(40).alias("w"), F.lit(40).alias("h"), _hexed(p).alias("luma"))
+    return frames.scroll_groups(table, width=40).select("video_id", "seq", "group_idx", "seq_in_group")
+
+
+def _screens(spark: SparkSession, sf: str) -> DataFrame:
+    """Per label a video of 240 x 240 planes, every value of an embedding a square of 30: dark screens, terminals, and such
+    as are neither dark nor light, by the label."""
+    e = _table(spark, sf, "embeddings")
+    shade = F.col("label") % 3
+    mean, wide = F.when(shade == 0, 60).when(shade == 1, 20).otherwise(130), F.when(shade == 0, 300).when(shade == 1, 40).otherwise(100)
+    value = lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(mean + x.cast("double") * wide))).cast("int")
+    p = e.select(F.col("label").alias("video_id"), F.col("vec_id").alias("seq"), F.transform("embedding", value).alias("p"))
+    cell = F.transform("p", lambda x: F.repeat(F.lpad(F.hex(x), 2, "0"), F.lit(30)))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.repeat(F.array_join(F.slice(cell, r * 8 + 1, F.lit(8)), ""), F.lit(30)))
+    return p.select("video_id", "seq", F.lit(240).alias("w"), F.lit(240).alias("h"), F.unhex(F.array_join(rows, "")).alias("luma"))
+
+
+_share = lambda c: f"avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
+#: P: the squares of each frame; R: the region of each video, by its first frame. A strip of 30 columns is one square wide,
+#: the top bar of 20 rows lies in one.
+_REGIONS = f"""P AS (SELECT label AS video_id, vec_id AS seq, unnest(range(64)) AS k, unnest(list_transform(embedding, lambda e: greatest(0, least(255, floor([60, 20, 130][label % 3 + 1] + e::DOUBLE * [300, 40, 100][label % 3 + 1])))::INT)) AS v FROM embeddings),
+Q AS (SELECT video_id, k // 8 AS y, k % 8 AS x, v FROM P WHERE (video_id, seq) IN (SELECT (video_id, min(seq)) FROM P GROUP BY video_id)),
+D AS (SELECT video_id, {_share('v < 80')} AS dark, {_share('v > 200')} AS light FROM Q GROUP BY video_id),
+CX AS (SELECT video_id, min(x) AS x0, max(x) + 1 AS x1 FROM (SELECT video_id, x FROM Q GROUP BY ALL HAVING {_share('v < 80')} > 0.5::DOUBLE) GROUP BY video_id),
+CY AS (SELECT video_id, min(y) AS y0, max(y) + 1 AS y1 FROM (SELECT video_id, y FROM Q GROUP BY ALL HAVING {_share('v < 80')} > 0.5::DOUBLE) GROUP BY video_id),
+BX AS (SELECT video_id, dark, light, coalesce(x0, 0) AS x0, coalesce(x1, 8) AS x1, coalesce(y0, 0) AS y0, coalesce(y1, 8) AS y1 FROM D LEFT JOIN CX USING (video_id) LEFT JOIN CY USING (video_id)),
+TX AS (SELECT *, CASE WHEN (x1 - x0) * 30 > 144 AND (SELECT stddev_pop(v) FROM Q WHERE Q.video_id = BX.video_id AND Q.x = BX.x0 AND Q.y >= BX.y0 AND Q.y < BX.y1) < 15 THEN x0 + 1 ELSE x0 END AS fx FROM BX),
+TY AS (SELECT *, (y1 - y0) * 30 > 120 AND (SELECT stddev_pop(v) FROM Q WHERE Q.video_id = TX.video_id AND Q.y = TX.y0 AND Q.x >= TX.fx AND Q.x < TX.x1) < 20 AS bar FROM TX),
+RB AS (SELECT video_id, dark > 0.3::DOUBLE AND dark > light AS found, fx * 30 AS x, y0 * 30 + CASE WHEN bar THEN 20 ELSE 0 END AS y, greatest((x1 - fx) * 30, 100) AS w, greatest(y1 * 30 - y0 * 30 - CASE WHEN bar THEN 20 ELSE 0 END, 100) AS h FROM TY),
+IN_BOX AS (SELECT RB.video_id, sum(v * n) / sum(n)::DOUBLE AS mean, sum(CASE WHEN v > 180 THEN n ELSE 0 END) / sum(n)::DOUBLE AS bright FROM (
+  SELECT Q.video_id, v, greatest(0, least(RB.x + RB.w, (Q.x + 1) * 30) - greatest(RB.x, Q.x * 30)) * greatest(0, least(RB.y + RB.h, (Q.y + 1) * 30) - greatest(RB.y, Q.y * 30)) AS n FROM Q JOIN RB USING (video_id)) c JOIN RB USING (video_id) GROUP BY RB.video_id),
+R AS (SELECT video_id, (CASE WHEN found THEN least(x, 239) ELSE 0 END)::INT AS x, (CASE WHEN found THEN least(y, 239) ELSE 0 END)::INT AS y, (CASE WHEN found THEN least(w, 240 - least(x, 239)) ELSE 240 END)::INT AS w, (CASE WHEN found THEN least(h, 240 - least(y, 239)) ELSE 240 END)::INT AS h,
+  CASE WHEN found AND mean < 40 AND bright < 0.15::DOUBLE THEN 'terminal' ELSE 'editor' END AS region_type FROM RB LEFT JOIN IN_BOX USING (video_id))"""
+
+
+@query(f"WITH {_REGIONS} SELECT video_id, x, y, w, h, region_type FROM R")
+def code_regions(spark: SparkSession, sf: str) -> DataFrame:
+    return frames.code_regions(_screens(spark, sf))
+
+
+@query(f"""WITH {_REGIONS}, C AS (SELECT video_id, seq, k // 8 AS r, string_agg(repeat(lpad(printf('%X', v), 2, '0'), 30), '' ORDER BY k) AS px FROM P GROUP BY ALL),
+A AS (SELECT video_id, seq, list(px ORDER BY r) AS px FROM C GROUP BY ALL)
+SELECT video_id, seq, w, h, md5(unhex(array_to_string(list_transform(range(R.y, R.y + R.h), lambda j: substr(px[j // 30 + 1], R.x * 2 + 1, R.w * 2)), ''))) AS md5 FROM A JOIN R USING (video_id)""")
 def crop_frames(spark: SparkSession, sf: str) -> DataFrame:
-    images = _images(spark, sf)
+    images = _screens(spark, sf)
     return frames.crop(images, frames.code_regions(images)).select("video_id", "seq", "w", "h", F.md5("luma").alias("md5"))
 
 
-@query()
+_K = frames.blur_matrix(8)
+_weights = ", ".join(f"({i}, {j}, {float(_K[i, j])!r}::DOUBLE)" for i in range(8) for j in range(8) if _K[i, j])
+
+
+@query(f"""WITH W(i, j, k) AS (VALUES {_weights}), E AS (SELECT vec_id, {_px} AS p FROM embeddings), M AS (SELECT a.vec_id, a.p, list_transform(list_zip(a.p, b.p), lambda z: (z[1] * (a.vec_id % 5) + z[2] * (4 - a.vec_id % 5)) // 4) AS q FROM E a JOIN E b ON b.vec_id = a.vec_id + 1),
+X AS (SELECT vec_id, n // 8 AS y, n % 8 AS x, p[n + 1]::DOUBLE AS a, q[n + 1]::DOUBLE AS b FROM M, range(64) AS r(n)),
+H AS (SELECT vec_id, y, i AS x, sum(k * a) AS a, sum(k * b) AS b, sum(k * a * a) AS aa, sum(k * b * b) AS bb, sum(k * a * b) AS ab FROM X JOIN W ON W.j = X.x GROUP BY ALL),
+V AS (SELECT vec_id, i AS y, x, sum(k * a) AS a, sum(k * b) AS b, sum(k * aa) AS aa, sum(k * bb) AS bb, sum(k * ab) AS ab FROM H JOIN W ON W.j = H.y GROUP BY ALL),
+S AS (SELECT vec_id, avg((2 * a * b + 6.5025::DOUBLE) * (2 * (ab - a * b) + 58.5225::DOUBLE) / ((a * a + b * b + 6.5025::DOUBLE) * (aa - a * a + bb - b * b + 58.5225::DOUBLE))) AS s FROM V GROUP BY vec_id)
+SELECT vec_id, round(s * 10)::INT AS tenths, s < 0.95::DOUBLE AS differs, s > 0.85::DOUBLE AS alike FROM S""")
+def frame_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Each plane of 8 x 8 against a mixture, by its number, of itself and the next one."""
+    e = _table(spark, sf, "embeddings").select("vec_id", _pixels(F.col("embedding")).alias("p"))
+    after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("p").alias("q"))
+    part = F.col("vec_id") % 5
+    mixed = F.zip_with("p", "q", lambda a, b: F.floor((a * part + b * (4 - part)) / 4).cast("int"))
+    pairs = e.join(after, "vec_id").select("vec_id", F.lit(8).alias("w"), F.lit(8).alias("h"), _hexed(F.col("p")).alias("luma"), _hexed(mixed).alias("other"))
+    s = F.col("similarity")
+    return frames.similarities(pairs).select("vec_id", F.round(s * 10).cast("int").alias("tenths"), (s < 0.95).alias("differs"), (s > 0.85).alias("alike"))
+
+
+_json = r"""{
+  "files" : [ {
+    "filename" : "<filename>",
+    "language" : "<language>",
+    "final_content" : <content>,
+    "revisions" : [ ]
+  } ],
+  "terminal_commands" : [ ],
+  "annotations" : [ ],
+  "duration" : 0.0,
+  "source_video" : "<id>"
+}"""
+
+
+def _filled(template: str, **values: str) -> str:
+    """SQL for the template with values in place of their names."""
+    out = _lit(template)
+    for name, value in values.items():
+        out = out.replace(f"<{name}>", f"' || {value} || '")
+    return out
+
+
+@query(f"WITH T AS ({SQL['detect_language']}) SELECT T.id, {_filled(_json, filename='filename', language='language', content=f'to_json(text || chr(10) || {_chosen})::VARCHAR', id='T.id')} AS json FROM T JOIN documents ON doc_id = T.id")
 def output_json(spark: SparkSession, sf: str) -> DataFrame:
     named = _snippets(spark, sf).withColumn("language", T.detect_language(F.col("text")))
     none = F.array().cast("array<struct<timestamp:double,content:string,narration:string,frame_index:bigint,diff:string>>")
@@ -409,13 +537,13 @@ def output_json(spark: SparkSession, sf: str) -> DataFrame:
     return named.select("id", sinks.as_json(sinks.record(F.array(file), F.lit(0.0), F.col("id").cast("string"))).alias("json"))
 
 
-@query()
+@query(f"""WITH S0 AS ({sql.stitch_revisions(_VIDEOS)}), S1 AS ({d_clean('S0')}), S2 AS ({sql.dedup_blocks('S1')}), S3 AS ({sql.section_texts('S2')}), S4 AS ({sql.dedup_passages('S3')}) SELECT id, text FROM S4""")
 def text_chain(spark: SparkSession, sf: str) -> DataFrame:
     return chain.text_chain(_table(spark, sf, "documents"), "source", "doc_id", "text")
 
 
 @query()
 def scrape_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole way with a backend that writes the plane's rows as text, for want of a model."""
-    extract.BACKENDS["rows"] = lambda: lambda image, prompt: "\n".join(image[k : k + 12].hex() for k in range(0, len(image), 48))
+    """The whole way with a backend that writes the beginnings of an image's rows as text, for want of a model."""
+    extract.BACKENDS["rows"] = lambda: lambda image, prompt: "\n".join(row[:12, 0].tobytes().hex() for row in frames.read_png(image))
     return chain.scrape(_images(spark, sf), chain.Settings(backend="rows")).select("video_id", "json")

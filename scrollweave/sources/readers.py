@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrollweave.functions.text import pts_time
@@ -32,29 +32,33 @@ def _luma(channels: int, data: bytes) -> bytes | None:
     rounded down. Null for other images."""
     if channels not in (3, 4):
         return None
-    pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
-    blue, green, red = (pixels[:, k].astype(np.uint32) for k in range(3))
-    return ((722 * blue + 7152 * green + 2126 * red) // 10_000).astype(np.uint8).tobytes()
+    return luma_of(np.frombuffer(data, np.uint8).reshape(-1, channels)[:, 2::-1])
 
 
-def timed(images: DataFrame, log: DataFrame, step: float) -> DataFrame:
-    """Frames with ``timestamp``: the i-th frame by number gets the i-th ``pts_time`` of ``log (n, value)``, else
-    ``i * step``. One video's frames are numbered in one task."""
-    from pyspark.sql import Window
+def luma_of(rgb: np.ndarray) -> bytes:
+    red, green, blue = (rgb[:, k].astype(np.uint32) for k in range(3))
+    return ((2126 * red + 7152 * green + 722 * blue) // 10_000).astype(np.uint8).tobytes()
+
 
+def timed(images: DataFrame, log: DataFrame, step: float, video: str | None = None) -> DataFrame:
+    """Frames with ``timestamp``: the i-th frame by number gets the i-th ``pts_time`` of ``log (n, value)``, else
+    ``i * step``. ``video`` names a column of both; frames and times are then counted within each video, which is the
+    parallel axis."""
+    own = [video] if video else []
     times = log.withColumn("timestamp", pts_time(F.col("value"))).filter("timestamp IS NOT NULL")
-    times = times.select((F.row_number().over(Window.orderBy("n")) - 1).alias("__i"), "timestamp")
-    placed = images.withColumn("__i", F.row_number().over(Window.orderBy("number", "path")) - 1)
-    return placed.join(times, "__i", "left").withColumn("timestamp", F.coalesce("timestamp", F.col("__i") * F.lit(step))).drop("__i")
+    one = lambda *order: F.row_number().over(Window.partitionBy(*own).orderBy(*order)) - 1
+    times = times.select(*own, one("n").alias("__i"), "timestamp")
+    placed = images.withColumn("__i", one("number", "path"))
+    return placed.join(times, [*own, "__i"], "left").withColumn("timestamp", F.coalesce("timestamp", F.col("__i") * F.lit(step))).drop("__i")
 
 
 def encoded(spark: SparkSession, folder: str, glob: str = "*.png") -> DataFrame:
-    """``(path, base64)`` of files, without line breaks."""
-    spark.conf.set("spark.sql.chunkBase64String.enabled", "false")
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", F.base64("content").alias("base64"))
+    """``(path, base64)`` of files, without line breaks whatever the session's setting."""
+    whole = F.regexp_replace(F.base64("content"), r"[\r\n]", "")
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder).select("path", whole.alias("base64"))
 
 
-def text_file(spark: SparkSession, path: str) -> DataFrame:
+def text_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``(path, text)`` of whole files."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 

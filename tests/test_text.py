@@ -17,22 +17,22 @@ def one(spark, column, *values):
 
 def test_lines_and_quality(spark):
     assert one(spark, T.lines, "", "\n", "a\n\n", "a\r\nb", "a\r") == [[], [""], ["a", ""], ["a", "b"], ["a\r"]]
-    high = one(spark, T.line_quality, "fn main() {", "let x = 42;", "import os", "# Header", "| a | b |")
+    high = one(spark, T.line_quality, "fn area(r: f64) -> f64 {", "let total = 7;", "import sys", "# Notes", "| k | v |")
     assert all(0.5 < q <= 1 for q in high)
     assert one(spark, T.line_quality, "", "  ", "x", "{}", "é") == [0.5] * 5
-    assert all(q < 0.3 for q in one(spark, T.line_quality, "Meldipgodequicedtransfomburg", "asdkjhaslkdjhqweoiruqwlekrj"))
+    assert all(q < 0.3 for q in one(spark, T.line_quality, "Quaffelbrindostemquorvaldunge", "zzkqjwhtrpvlmncbxdgfywqpeortu"))
     assert one(spark, T.normalize_line, "## **A**  ", "---", "\t> - B") == ["a", "", "b"]
 
 
 def test_clean_collapses_before_it_filters(spark):
-    assert one(spark, lines.clean_text, "# c\n# c\n# c\nasdkjhaslkdjhqweoiruqwlekrj\n# c\n# c") == ["\n".join(["# c"] * 5)]
-    assert one(spark, lines.clean_text, "# comment\n\n", "a\na\na\na\nb\nb\nb\nb\nb\nc", "") == ["# comment\n", "a\na\na\na\nb\nc", ""]
+    assert one(spark, lines.clean_text, "# c\n# c\n# c\nzzkqjwhtrpvlmncbxdgfywqpeortu\n# c\n# c") == ["\n".join(["# c"] * 5)]
+    assert one(spark, lines.clean_text, "# remark\n\n", "a\na\na\na\nb\nb\nb\nb\nb\nc", "") == ["# remark\n", "a\na\na\na\nb\nc", ""]
 
 
 def test_fences_and_language(spark):
-    assert one(spark, T.strip_fences, "```rust\na\nb\n```", "```\na", "```", "a") == ["a\nb", "a", "```", "a"]
+    assert one(spark, T.strip_fences, "```go\na\nb\n```", "```\na", "```", "a") == ["a\nb", "a", "```", "a"]
     assert one(spark, T.clean_response, " ```\na\n```", "```") == ["a", ""]
-    assert one(spark, T.detect_language, "fn main() { let mut x; }", "import os\nprint(1)", "plain") == ["rust", "python", "unknown"]
+    assert one(spark, T.detect_language, "pub fn f() { let mut k; }", "import sys\nprint(sys)", "prose") == ["rust", "python", "unknown"]
 
 
 def test_folds():
@@ -47,6 +47,26 @@ def test_folds():
     assert folds.unique_names(["a/b", "", "..", "extracted.json", "a_b"]) == ["a_b", "file_1.txt", "file_2.txt", "extracted_3.json", "a_b_4.txt"]
 
 
+def test_dedup_blocks_against_the_plain_search():
+    def plain(text, above):
+        found = [b.split("\n") for b in text.split("\n\n")]
+        bags = [Counter(map(folds.normalized_hash, b)) for b in found]
+        gone = set()
+        for i in range(len(found)):
+            for j in range(i + 1, len(found)):
+                if i not in gone and j not in gone and folds.similarity(bags[i], bags[j]) > above:
+                    gone.add(i if len(found[j]) > len(found[i]) else j)
+        return "\n\n".join("\n".join(b) for k, b in enumerate(found) if k not in gone)
+
+    rng = random.Random(4)
+    for _ in range(1000):
+        above = rng.choice([0.3, 0.5, 0.6, 0.85])
+        text = "\n\n".join("\n".join(rng.choice("abcd") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(2, 12)))
+        assert folds.dedup_blocks(text, above) == plain(text, above)
+    many = "\n\n".join(["same\nlines\nhere", "same\nlines\nhere\ntoo", "common\nx%d\ny%d"][k % 3].replace("%d", str(k)) for k in range(30_000))
+    assert folds.dedup_blocks(many).count("\n\n") == 10_001
+
+
 def test_dedup_passages_against_the_plain_search():
     def plain(text):
         h = text.split("\n")
