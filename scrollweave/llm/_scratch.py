@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 
 #: Temporary folders of applications on one machine without a setting.
@@ -74,11 +75,41 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
                 _open[-1].append((table, path))
 
 
+#: Files whose rows are named by their place, beyond which a copy is parked; their names are broadcast, 200 bytes each.
+MOST_FILES, ROWS_BITS = 100_000, 40
+_PLAIN = ("LogicalRelation", "Project", "Filter", "SubqueryAlias")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """``(row, doc)``, parked: a key for each row and the row itself as one struct, so that no name of its columns can clash
-    with one of an operator's. The key holds where ids are null or repeated."""
+    """``(row, doc)``: a key for each row and the row itself as one struct, so that no name of its columns can clash with
+    one of an operator's. The key holds where ids are null or repeated, and is the same in every job.
+
+    Rows of a plain scan of Parquet files are named by file and place, without a copy. Others are parked first.
+    """
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    return park(docs.select(F.monotonically_increasing_id().alias("row"), whole), "rows")
+    files = _files(docs)
+    if files is None:
+        return park(docs.select(F.monotonically_increasing_id().alias("row"), whole), "rows")
+    names = docs.sparkSession.createDataFrame([(name, k) for k, name in enumerate(files)], "path string, file long")
+    placed = docs.select(whole, F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"))
+    return placed.join(F.broadcast(names), "path").select((F.shiftleft("file", ROWS_BITS) + F.col("place")).alias("row"), "doc")
+
+
+def _files(docs: DataFrame) -> list[str] | None:
+    """The files that ``docs`` scans; None if it isn't a plain scan of Parquet files, MOST_FILES at most."""
+
+    def plain(plan) -> bool:
+        children = plan.children()
+        return plan.nodeName().split(" ")[0] in _PLAIN and children.size() <= 1 and all(plain(children.apply(k)) for k in range(children.size()))
+
+    if "_metadata" in (c.lower() for c in docs.columns) or not plain(docs._jdf.queryExecution().analyzed()):
+        return None
+    try:
+        places = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"))
+    except AnalysisException:  # not Parquet, or the columns no longer come with their files
+        return None
+    found = [r.path for r in places.select("path").distinct().limit(MOST_FILES + 1).collect()]
+    return sorted(found) if len(found) <= MOST_FILES else None
 
 
 def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scrollweave.llm import _scratch, _slots, chat, decontaminate, minhash, packing, quality, secrets, sharding, tokens, toxicity, urlfilter
 from scrollweave.llm.queries import tokenizer_path
@@ -481,6 +482,23 @@ def test_scopes_delete_what_is_not_kept(spark, tmp_path, monkeypatch):
     assert not tmp_path.exists()
 
 
+def test_rows_of_files_are_named_without_a_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(_scratch, "shared_dir", lambda s: str(tmp_path / "scratch"))
+    table = spark.range(1000).selectExpr("id % 7 AS doc_id", "if(id % 3 = 0, null, cast(id AS string)) AS text", "id AS place", "id AS path")
+    table.repartition(5).write.parquet(str(tmp_path / "plain"))
+    docs = spark.read.parquet(str(tmp_path / "plain"))
+    for rows in (docs, docs.filter("place > 10"), docs.select("text", "doc_id", "place")):
+        named = _scratch.keyed(rows)
+        first, again = ({r.row: r.doc for r in named.select("row", "doc").repartition(n).collect()} for n in (2, 7))
+        assert first == again and len(first) == rows.count() and Counter(first.values()) == Counter(rows.collect())
+        assert {r.row: r.text for r in named.select("row", F.col("doc").getField("text").alias("text")).collect()} == {k: d.text for k, d in first.items()}
+    assert not (tmp_path / "scratch").exists()
+    for rows in (docs.union(docs), docs.withColumn("_metadata", F.lit(1)), docs.join(docs.select("place"), "place"), table, docs.limit(5), docs.selectExpr("*", "explode(array(1, 2)) AS twice")):
+        assert _scratch.keyed(rows).select("row").distinct().count() == rows.count()
+    assert len(list((tmp_path / "scratch").iterdir())) == 6
+    assert _scratch.keyed(docs.filter("place < 0")).count() == 0
+
+
 def test_operators_leave_only_what_their_results_read(spark, odd, tmp_path, monkeypatch):
     monkeypatch.setattr(_scratch, "shared_dir", lambda s: str(tmp_path))
     left = lambda: sorted(p.name.split("-")[0] for p in tmp_path.iterdir())
