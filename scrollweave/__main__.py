@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--gpu-ocr", action="store_true", help="read with ONNX models")
     one.add_argument("--model-dir", default=os.path.expanduser("~/.scrollweave/models"), help="folder of the ONNX models")
     one.add_argument("--parallel", type=int, default=4, help="images read at a time in a task")
+    one.add_argument("--work-dir", help="a folder that every executor can read and write, for frames and texts on the way; spark.checkpoint.dir by default")
     one.add_argument("--decoder", default="ffmpeg", help="program that decodes videos")
     one.add_argument("--probe", default="ffprobe", help="program that tells their durations")
     one.add_argument("--refine", action="store_true", help="mend the final text by a model")
@@ -62,7 +63,8 @@ def run_scrape(spark: SparkSession, args: argparse.Namespace) -> None:
     if gone := [v for v in args.videos if "://" not in v and not Path(v).exists()]:
         raise SystemExit(f"not found: {', '.join(gone)}")
     videos = spark.createDataFrame([(Path(v).stem, v) for v in args.videos], "video_id string, path string").repartition(len(args.videos))
-    settings = Settings(args.ssim_threshold, register(args), max(1, args.parallel), max(1, args.refine_agents), refiner(args) if args.refine else None)
+    work = args.work_dir or spark.conf.get("spark.checkpoint.dir", None)
+    settings = Settings(args.ssim_threshold, register(args), max(1, args.parallel), max(1, args.refine_agents), work, refiner(args) if args.refine else None)
     began = time.time()
     counted = extract.Progress("frames")
     images = counted.watch(video.sampled(videos, args.decoder))

@@ -308,7 +308,7 @@ for k, v in enumerate(values):
     monkeypatch.setenv("ANTHROPIC_API_KEY", "key")
     code = "import os\n\nclass Reader:\n    def read(self):\n        return os.getcwd()\n\nprint(Reader().read())"
     service.always = lambda body: (200, {"response": f"```py\n{code}\n```"}) if "images" in body else (200, {"content": [{"text": body["messages"][0]["content"].split("\n\n", 1)[1]}]})
-    args = ["scrape", str(tmp_path / "talk.mov"), "-o", str(tmp_path / "out"), "--ollama-host", service.url, "--refine", "--refine-url", f"{service.url}/m", "--refine-agents", "0", "--decoder", tool, "--probe", probe]
+    args = ["scrape", str(tmp_path / "talk.mov"), "-o", str(tmp_path / "out"), "--ollama-host", service.url, "--refine", "--refine-url", f"{service.url}/m", "--refine-agents", "0", "--decoder", tool, "--probe", probe, "--work-dir", str(tmp_path / "work")]
     monkeypatch.setattr(command, "SparkSession", type("Held", (), {"builder": type("B", (), {"appName": staticmethod(lambda name: type("C", (), {"getOrCreate": staticmethod(lambda: spark)}))})}))
     command.main(args)
     record = json.loads((tmp_path / "out/talk/extracted.json").read_text())
