@@ -6,6 +6,7 @@ mixed with its length; a shingle mixes the hashes of its words in order.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 #: Bytes that one step of hashing takes.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 _powers: dict[str, np.ndarray] = {}
 
@@ -49,7 +50,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def slices(batch: pa.RecordBatch, columns: tuple[str, ...], most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, columns: tuple[str, ...], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about ``most`` bytes of text, so that memory doesn't follow the batch size."""
     if not batch.num_rows:
         return
@@ -62,6 +63,14 @@ def slices(batch: pa.RecordBatch, columns: tuple[str, ...], most: int = 1 << 21)
         yield batch.slice(int(a), int(b - a))
 
 
+def release() -> None:
+    """Give free memory back to the system, at the end of a task: a Python worker goes on to other tasks and operators."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and the offset of each (one more than texts); null counts as empty."""
     column = pc.fill_null(column, "").cast(pa.large_string())

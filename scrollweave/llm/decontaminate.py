@@ -268,6 +268,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshold: fl
                     hits = [(ids[t], *rest) for t, *rest in index().found(*_words(batch.column("text")), threshold)]
                     cols = list(zip(*hits, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if n == 4 else pa.int64()) for n, c in enumerate(cols)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
+            tv.release()
 
         part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -313,6 +314,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, threshol
                         clean[done + text] = False
                     done += batch.num_rows
                 yield whole.filter(pa.array(clean))
+            tv.release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs.toDF(*names)

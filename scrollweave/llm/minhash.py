@@ -111,6 +111,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, bands: i
                     [batch.column("id"), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(signature, pa.binary()), pa.array(buckets, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
                     ["id", "n_shingles", "node", "twin", "signature", "buckets", "bits"],
                 )
+        tv.release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return chosen.mapInArrow(run, "id long, n_shingles long, node long, twin long, signature binary, buckets array<long>, bits binary")
@@ -174,6 +175,7 @@ def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
                     if both and den * both >= num * (len(x) + len(y) - both):
                         keep.append(k)
                 yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
+        tv.release()
 
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")).join(ends, "rep").select("node", "twin", "text")

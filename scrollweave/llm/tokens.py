@@ -203,6 +203,7 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             for batch in tv.slices(whole, ("text",), BATCH):
                 lengths, _ = encode(batch.column("text"), ids=False)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lengths + 1)], ["doc_id", "n_tokens"])
+        tv.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long")
@@ -237,6 +238,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column("file").cast(pa.int32()), batch.column("doc_id"), pa.array(before + ends[:-1]), pa.array(lengths), lists], ["file", "doc_id", "local_start", "n_tokens", "ids"])
                 before += int(ends[-1])
+        tv.release()
 
     options = {"orc.compress": "ZSTD", "orc.stripe.size": str(stripe_mb << 20), "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
     ordered.mapInArrow(run, SCHEMA).write.options(**options).mode("overwrite").orc(path)
