@@ -29,7 +29,8 @@ def collapse_runs(table: DataFrame, longest: int = 5) -> DataFrame:
 
 def clean_lines(table: DataFrame, least: float = 0.3) -> DataFrame:
     """Runs collapsed first, then lines of too low quality out."""
-    return T.with_quality(collapse_runs(table)).filter(F.col("quality") >= least).select(*table.columns)
+    # As one expression: a filter over staged columns would be pushed below them and put each stage into the next.
+    return collapse_runs(table).filter(T.line_quality(F.col("line")) >= least)
 
 
 def clean_text(text: Column, least: float = 0.3, longest: int = 5) -> Column:
