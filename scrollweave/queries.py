@@ -546,4 +546,4 @@ def text_chain(spark: SparkSession, sf: str) -> DataFrame:
 def scrape_videos(spark: SparkSession, sf: str) -> DataFrame:
     """The whole way with a backend that writes the beginnings of an image's rows as text, for want of a model."""
     extract.BACKENDS["rows"] = lambda: lambda image, prompt: "\n".join(row[:12, 0].tobytes().hex() for row in frames.read_png(image))
-    return chain.scrape(_images(spark, sf), chain.Settings(backend="rows")).select("video_id", "json")
+    return chain.scrape(_images(spark, sf), chain.Settings(backend="rows", work_dir=chain.work_folder(spark))).select("video_id", "json")

@@ -1,13 +1,16 @@
 import random
 import struct
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from scrollweave import queries
 from scrollweave.functions import text as T
 from scrollweave.operators import folds, frames, lines
+from scrollweave.plans import chain
 from scrollweave.sources import readers
 
 
@@ -133,3 +136,72 @@ def test_colour_frames_are_read_as_luma(spark, tmp_path):
     assert [(got[k].w, got[k].h) for k in (1, 2, 3, 10)] == [(60, 50)] * 3 + [(None, None)]
     table = readers.frames(spark, str(tmp_path)).selectExpr("'a' AS video_id", "number AS seq", "w", "h", "luma")
     assert sorted(r.seq for r in frames.dedup_frames(table).collect()) == [1, 3]
+
+
+def test_stitching_costs_what_there_are_lines(monkeypatch):
+    """20,000 revisions with a common line: few are compared, and none is sought through the whole text."""
+    compared = []
+    similarity = folds.similarity
+    monkeypatch.setattr(folds, "similarity", lambda a, b: compared.append(1) or similarity(a, b))
+    began = time.time()
+    many = [f"common\na{k}\nb{k}\nc{k}" for k in range(20_000)]
+    assert folds.stitch_revisions(many + many[:100]) == "\n".join(many) and len(compared) < 20_000
+    assert folds.stitch_scroll(many + many[:100]) == "\n".join(many)
+    assert time.time() - began < 30
+
+
+def test_stitching_against_the_plain_search():
+    def plain(revisions):
+        full, hashes, bags = [], [], []
+        for revision in revisions:
+            now = folds.lines(revision)
+            h = list(map(folds.normalized_hash, now))
+            bag = Counter(h)
+            if sum(x.strip() != "" for x in now) < 3 or any(folds.similarity(b, bag) > 0.75 for b in bags):
+                continue
+            bags.append(bag)
+            skip = folds.overlap(hashes[-200:], h)
+            if not skip and (at := folds.reverse_overlap(hashes, h)) >= 0:
+                skip = next((n for n in range(len(h)) if at + n >= len(hashes) or hashes[at + n] != h[n]), len(h))
+            full += now[skip:]
+            hashes += h[skip:]
+        return "\n".join(full)
+
+    rng = random.Random(5)
+    for _ in range(1000):
+        base = [rng.choice("abcdefgh ") for _ in range(60)]
+        revisions = ["\n".join(base[(at := rng.randint(0, 50)) : at + rng.randint(1, 16)]) for _ in range(12)]
+        assert folds.stitch_revisions(revisions) == plain(revisions)
+
+
+def test_frames_are_compared_in_runs(spark, monkeypatch):
+    """Where a video is cut into runs, frames stay or go, and scroll on, as in one pass."""
+    monkeypatch.setattr(frames, "RUN", 3)
+    rng = np.random.default_rng(6)
+    base, rows = rng.integers(0, 256, (200, 48), np.uint8), []
+    for video in "ab":
+        image = base[:48]
+        for k in range(20):
+            image = [image, np.clip(image + rng.integers(0, 12, image.shape), 0, 255).astype(np.uint8), base[k * 7 : k * 7 + 48]][rng.integers(0, 3)]
+            rows.append((video, k, 48, 48, None if k == 11 else image.tobytes()))
+    want, groups, group = [], [], {}
+    for video in "ab":
+        last = before = None
+        for k, image in ((r[1], frames.plane(48, 48, r[4])) for r in rows if r[0] == video):
+            group[video] = group.get(video, -1) + (not frames.is_scroll(before, image))
+            groups.append((video, k, group[video]))
+            before = image
+            if image is not None and (last is None or frames.ssim(frames.narrow(last), frames.narrow(image)) < 0.95):
+                last = image
+                want.append((video, k))
+    table = spark.createDataFrame(rows, "video_id string, seq int, w int, h int, luma binary")
+    assert sorted((r.video_id, r.seq) for r in frames.dedup_frames(table).collect()) == want and len(want) < 38
+    assert sorted((r.video_id, r.seq, r.group_idx) for r in frames.scroll_groups(table).collect()) == groups
+
+
+def test_the_scrape_query_reads_each_image_once(spark, monkeypatch):
+    """Frames and texts on the way are kept in a folder that all share, so later plans don't begin again."""
+    seen = []
+    monkeypatch.setattr(chain, "scrape", lambda images, settings: seen.append(settings.work_dir) or images.withColumn("json", F.lit("")))
+    queries.QUERIES["scrape_videos"](spark, "/root/testdata/sf0.001")
+    assert seen[0]
